@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality
+from tessera.llm import jaccard, pieces, quality
 
 QUERIES = {
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_quality_cascade": quality.op7_quality_cascade,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE = {
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
 }
