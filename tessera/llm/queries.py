@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, pieces, quality
+from tessera.llm import jaccard, pieces, quality, tokenfiles, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_token_files": tokenfiles.op2_token_files,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op10_pieces": pieces.op10_pieces,
