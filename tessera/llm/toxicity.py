@@ -10,15 +10,13 @@ worst unit, and a text as its worst sentence.
 
 Training is multiple-instance: every unit of a clean text is clean, and the
 witness of a toxic text is the unit of it that toxic texts hold most, and far
-more often than clean ones do.  Copies of common
-witnesses with a character put in or changed join them.  After each fit, the worst-scored
-clean units join it.
-Landmarks are the units whose document frequencies differ most between the
-labels, plus common clean ones; kernel values against them, whitened (Nyström),
-feed a linear squared-hinge SVM, solved by Newton steps.  As the decision is
-linear in the landmarks' kernels, it folds into one weight per character
-triple, which is what the tasks evaluate.  A logistic curve through the
-training texts turns decisions into scores.
+more often than clean ones do; a toxic text without one takes no part.  After each fit, the worst-scored clean units
+join it.  Landmarks are the commonest witnesses and the commonest clean units;
+kernel values against them, whitened (Nyström), feed a linear squared-hinge
+SVM, solved by Newton steps.  As the decision is linear in the landmarks'
+kernels, it folds into one weight per character triple, which is what the tasks
+evaluate.  A logistic curve through the training texts turns decisions into
+scores.
 
 The fit uses at most TRAIN_DOCS labelled texts of each label, by hash order of
 doc_id, of at most TRAIN_CHARS characters each.  Scoring covers whole texts.
@@ -43,8 +41,6 @@ LANDMARKS, COMMON = 160, 40
 DECAY, WINDOW, STEP = 0.6, 24, 12
 #: Fits, each with the last one's worst errors added to the clean units.
 ROUNDS = 3
-#: Altered copies of each witness of 2% of the toxic texts, which join the fit.
-DISGUISES = 6
 THRESHOLD = 0.7
 CODES = 40
 
@@ -84,7 +80,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         pick = lone & good[np.maximum(run, 0)]
         extra_code = code[a[pick]]
         extra_n = size[good]
-        extra_a = len(code) + np.concatenate([[0], np.cumsum(extra_n)[:-1]]).astype(np.int64)
+        extra_a = len(code) + (np.cumsum(extra_n) - extra_n).astype(np.int64)
         extra_doc = docs[first][good]
     code = np.concatenate([code, extra_code])
     a, n, docs = np.concatenate([a, extra_a]), np.concatenate([n, extra_n]), np.concatenate([docs, extra_doc])
@@ -248,11 +244,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     n0, n1 = (~labels).sum(), labels.sum()
     usable = (rows > 0).sum(1) >= 3
     p0, p1 = (df[0] + 0.5) / (n0 + 1), (df[1] + 0.5) / (n1 + 1)
-    chi = np.where(usable & (p1 > p0), (df[1] / n1 - df[0] / n0) * np.log(p1 / p0), -1)
-    rank = np.lexsort((np.arange(len(rows)), -chi))
-    top = rank[:LANDMARKS][chi[rank[:LANDMARKS]] > 0]
+    # suspects: units whose count in toxic texts is far above what clean texts let expect;
+    # a toxic text's witness is its strongest suspect, so words that copies of a text share don't count
+    expect = (df[0] + 0.5) * n1 / n0
+    suspect = usable & (p1 > 5 * p0) & (df[1] >= 3) & (df[1] - expect > 4.5 * np.sqrt(expect + 0.1))
+    evidence = np.where(suspect, np.log(p1 / p0) * df[1], 0.0)
+    named = labels[doc] & suspect[unit]
+    if not named.any():
+        return plain
+    order = np.lexsort((unit[named], -evidence[unit[named]], doc[named]))
+    td, tu = doc[named][order], unit[named][order]
+    witness, times = np.unique(tu[np.concatenate([[True], td[1:] != td[:-1]])], return_counts=True)
     frequent = np.lexsort((np.arange(len(rows)), np.where(usable, -df[0], 1)))
-    marks = np.unique(np.concatenate([top, frequent[:COMMON]]))
+    best = witness[np.lexsort((witness, -times))[:LANDMARKS]]
+    marks = np.unique(np.concatenate([best, frequent[:COMMON]]))
     norm = self_kernel(rows)
     table = np.zeros((CODES**3, len(marks)), np.float32)
     for n, at in by_length(rows[marks]):
@@ -260,59 +265,33 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             for code, w in triples(rows[marks][at], n):
                 np.add.at(table, (code, at), w)
     table /= np.sqrt(np.maximum(norm[marks], 1e-12))[None, :].astype(np.float32)
-    features = lambda at: np.concatenate([weighted(rows[at[i : i + 8192]], table, norm[at[i : i + 8192]]) for i in range(0, len(at), 8192)])
+    features = lambda at: np.concatenate([weighted(rows[at[i : i + 2048]], table, norm[at[i : i + 2048]]) for i in range(0, len(at), 2048)])
     value, vector = np.linalg.eigh(features(marks))
     good = value > 1e-4 * value.max()
     white = vector[:, good] / np.sqrt(value[good])
 
     clean = np.flatnonzero((df[0] > 0) & usable)
     rng = np.random.default_rng(seed)
-    negative = np.union1d(rng.choice(clean, min(len(clean), 10_000), replace=False), frequent[:2000][df[0][frequent[:2000]] > 0])
-    # suspects: units whose count in toxic texts is far above what clean texts let expect;
-    # a toxic text's witness is its strongest suspect, so words that copies of a text share don't count
-    expect = (df[0] + 0.5) * n1 / n0
-    suspect = usable & (p1 > 5 * p0) & (df[1] >= 3) & (df[1] - expect > 4.5 * np.sqrt(expect + 0.1))
-    evidence = np.where(suspect, np.log(p1 / p0) * df[1], 0.0)
-    named = labels[doc] & suspect[unit]
-    if not named.any():
-        return plain
-    order = np.lexsort((unit[named], -evidence[unit[named]], doc[named]))
-    td, tu = doc[named][order], unit[named][order]
-    witness, times = np.unique(tu[np.concatenate([[True], td[1:] != td[:-1]])], return_counts=True)
+    negative = np.union1d(rng.choice(clean, min(len(clean), 6_000), replace=False), frequent[:2000][df[0][frequent[:2000]] > 0])
     clean = np.setdiff1d(clean, witness)
     negative = np.setdiff1d(negative, witness)
     folded, bias = None, 0.0
-    often = np.flatnonzero(times >= 0.02 * n1)
-    hidden, source = _disguised(rows[witness[often]], rng)
-    near = weighted(hidden, table, self_kernel(hidden)) @ white
-    mass = np.sqrt(np.concatenate([times, times[often][source] / DISGUISES]))
+    mass = np.sqrt(times)
     for _ in range(ROUNDS):
-        z = np.vstack([features(witness) @ white, near, features(negative) @ white])
+        z = np.vstack([features(witness) @ white, features(negative) @ white])
         y = np.concatenate([np.ones(len(mass)), -np.ones(len(negative))])
         weight = np.concatenate([mass * 0.5 * len(negative) / mass.sum(), np.ones(len(negative))])
         w = _svm(z, y, weight)
         folded, bias = (table @ (white @ w[:-1])).astype(np.float32), float(w[-1])
         decision = bias + weighted(rows, folded, norm)
-        hard = clean[np.argsort(-decision[clean], kind="stable")[:4000]]
+        hard = clean[np.argsort(-decision[clean], kind="stable")[:3000]]
         negative = np.union1d(negative, hard)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     worst = np.full(len(labels), bias)
     worst[doc[first]] = np.maximum(np.maximum.reduceat(decision[unit], first), bias)
-    return Model(folded, bias, *_logistic(worst, labels.astype(float)))
-
-
-def _disguised(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Each word of five characters or more with one character put in or changed inside, and the word's place."""
-    out, source = [], []
-    for i, row in enumerate(rows):
-        n = int((row > 0).sum())
-        for k in range(DISGUISES if 5 <= n < WINDOW else 0):
-            at, code = int(rng.integers(1, n - 1)), int(rng.integers(1, 29))
-            word = row[:n].tolist()
-            word = [*word[:at], code, *word[at + (k % 2) :]]
-            out.append(word + [0] * (WINDOW - len(word)))
-            source.append(i)
-    return np.array(out, np.int16).reshape(-1, WINDOW), np.array(source, np.int64)
+    told = ~labels
+    told[td] = True
+    return Model(folded, bias, *_logistic(worst[told], labels[told].astype(float)))
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
