@@ -36,6 +36,8 @@ WIDTH = 5
 PERCENT = 80
 #: Counters of the frequency sketch (a power of two) and blocks that it is summed in.
 SKETCH, BLOCKS = 1 << 20, 256
+#: Bytes of the filter of wanted documents (a power of two): fixed, so a full filter costs time and no results.
+FILTER = 1 << 22
 
 
 def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -51,35 +53,62 @@ def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndar
         yield i, value, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int64)
 
 
-def frequency_sketch(texts: DataFrame) -> np.ndarray:
-    """Counts of all shingles of a one-column text table, in SKETCH counters by hash.
+def _summed(tasks: DataFrame, size: int, kind: type, join) -> np.ndarray:
+    """The blocks that tasks sent, joined in tasks of their own; only the result reaches the driver."""
 
-    Each task sends its non-empty blocks; the blocks are summed in tasks of
-    their own, and only the sketch itself (SKETCH counters) reaches the driver.
-    """
-    size = SKETCH // BLOCKS
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(b), kind)
+                sums[k] = join(sums[k], x) if k in sums else x
+        if sums:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "x": pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())})
+
+    out = np.zeros((BLOCKS, size // BLOCKS), kind)
+    for block, x in tasks.repartition("block").mapInArrow(add, "block int, x binary").collect():
+        out[block] = np.frombuffer(zlib.decompress(x), kind)
+    return out.reshape(-1)
+
+
+def _blocks(total: np.ndarray) -> pa.RecordBatch:
+    rows = total.reshape(BLOCKS, -1)
+    some = np.flatnonzero(rows.any(1))
+    return pa.RecordBatch.from_pydict({"block": pa.array(some.astype(np.int32)), "x": pa.array([zlib.compress(rows[k].tobytes(), 1) for k in some], pa.binary())})
+
+
+def frequency_sketch(texts: DataFrame) -> np.ndarray:
+    """Counts of all shingles of a one-column text table, in SKETCH counters by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for _, value, _ in _shingles(batch, 0):
-                total += np.bincount(value & np.uint64(SKETCH - 1), minlength=SKETCH)
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array([zlib.compress(b.tobytes(), 1) for b in total.reshape(BLOCKS, size)], pa.binary())})
+                total += np.bincount((value & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        yield _blocks(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    total = _summed(texts.mapInArrow(count, "block int, x binary"), SKETCH, np.int64, np.add)
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+
+
+def _places(cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each (class, document)."""
+    with np.errstate(over="ignore"):
+        x = X.mix(cls.view(np.uint64) + X.mix(doc_id.view(np.uint64)))
+    return np.stack([x & np.uint64(8 * FILTER - 1), (x >> np.uint64(32)) & np.uint64(8 * FILTER - 1)])
+
+
+def wanted_filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of (cls, doc_id) rows in FILTER bytes."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, np.uint8)
         for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(b), np.int64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())})
+            at = _places(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)).reshape(-1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield _blocks(bits)
 
-    schema = "block int, counts binary"
-    out = np.zeros((BLOCKS, size), np.int64)
-    for block, counts in texts.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
-        out[block] = np.frombuffer(zlib.decompress(counts), np.int64)
-    return np.minimum(out.reshape(-1), (1 << 32) - 1).astype(np.uint32)
+    return _summed(members.mapInArrow(mark, "block int, x binary"), FILTER, np.uint8, np.bitwise_or)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -109,9 +138,9 @@ def _class_of(values: np.ndarray) -> int:
         return int(X.mix(np.array([x ^ X.mix(np.array([y], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(values.view(np.int64)))
+def _lists(parts: list[np.ndarray], kind: type = np.uint64, shown: type = np.int64) -> pa.Array:
+    values = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(values.view(shown)))
 
 
 def _signatures(docs: DataFrame, sketch, percent: int) -> DataFrame:
@@ -134,25 +163,54 @@ def _signatures(docs: DataFrame, sketch, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "uid long, doc_id long, n long, cls long, p1 array<long>")
 
 
-def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, p2, p3, s) of (doc_id, text): two further prefixes and the whole set."""
+def _sets(docs: DataFrame, wanted, percent: int) -> DataFrame:
+    """(cls, doc_id, p2, p3, s) of the wanted (doc_id, text): two further prefixes, as hash keys, and the whole set.
+
+    The prefixes hold the upper halves of their sort keys: equal shingles have
+    equal ones, so a shared shingle is never missed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            for _, value, offs in _shingles(batch, 1):
-                rows = [v for v in (np.unique(value[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)) if len(v)]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(v) for v in rows], pa.int64()), *(_lists([_prefix(v, by_hash(v, k), percent) for v in rows]) for k in (2, 3)), _lists(rows)], names=["cls", "p2", "p3", "s"])
-
-    return docs.mapInArrow(run, "cls long, p2 array<long>, p3 array<long>, s array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix shingle under every order and link."""
-    side = lambda x: sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("p2", "p3", "s")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, value, offs in _shingles(batch, 1):
+                sets = [np.unique(value[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                full = [k for k, v in enumerate(sets) if len(v)]
+                cls = np.array([_class_of(sets[k]) for k in full], np.int64)
+                at = _places(cls, ids[i : i + len(sets)][full])
+                hit = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0) if len(full) else np.zeros(0, bool)
+                rows = [sets[k] for k, h in zip(full, hit, strict=True) if h]
+                keep = np.array(full, np.int64)[hit]
+                cols = [pa.array(cls[hit]), batch.column(0).slice(i, len(sets)).take(pa.array(keep))]
+                for k in (2, 3):
+                    keys = [np.sort(by_hash(v, k))[: prefix_size(len(v), percent)] >> np.uint64(32) for v in rows]
+                    cols.append(_lists(keys, np.uint32, np.int32))
+                yield pa.RecordBatch.from_arrays([*cols, _lists(rows)], names=["cls", "doc_id", "p2", "p3", "s"])
+
+    return docs.mapInArrow(run, "cls long, doc_id long, p2 array<int>, p3 array<int>, s array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that share a prefix shingle under the other orders too, and link.
+
+    Sets are computed again for the first document of each class that a pair
+    names; a Bloom filter keeps the rest of the texts from travelling.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    members = classes.join(named, "cls").select("cls", "doc_id")
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(members))
+    sets = _sets(docs, wanted, percent)
+    sets = staged(sets.dropDuplicates(["cls"]) if repeated else sets)
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
+
+    near = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
+    near = staged(near.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b").distinct())
+    both = near.join(side("a", "s"), "a").join(side("b", "s"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    whole = F.size("sa") + F.size("sb") - shared
-    return both.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).where(100 * shared >= percent * whole).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -171,20 +229,19 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     table = staged(_signatures(docs, sketch, percent))
     classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("n").alias("n")))
 
-    rows = table.select("uid", "p1").join(classes.select("uid", "cls", "n"), "uid").select("cls", "n", F.explode("p1").alias("token"))
+    repeated = not table.where("cls IS NOT NULL").groupBy("cls", "doc_id").count().where("count > 1").isEmpty()
+
+    rows = table.select("uid", "p1").join(classes.select("uid", "cls"), "uid").select("cls", F.explode("p1").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = staged(rows.join(often, "token"))
+    shared = staged(rows.join(often, "token").join(classes.select("cls", "n"), "cls"))
 
-    fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     hub = shared.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
     near = shared.join(hub, "token").select("cls", "n", F.explode(F.array("lo", "hi")).alias("h"))
     near = near.select(F.col("cls").alias("a"), "n", F.col("h.cls").alias("b"), F.col("h.n").alias("m")).where("a <> b").where(fits)
     first = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    member = classes.join(shared.select("cls").distinct(), "cls").select(F.col("doc_id").alias("id"))
-    text = docs.join(member.distinct(), docs["doc_id"].eqNullSafe(member["id"]), "left_semi")
-    sets = staged(_sets(text, percent).dropDuplicates(["cls"]))
-    links = staged(_verified(first, sets, percent))
+    links = staged(_verified(first, docs, classes, repeated, percent))
     roots = components(links)
 
     named = shared.join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
@@ -192,8 +249,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     rest = staged(named.join(split, "token"))
     left, right = rest.select("token", F.col("cls").alias("a"), "n", F.col("root").alias("ra")), rest.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
     second = left.join(right, "token").where("a < b AND ra <> rb").where(fits).select("a", "b").distinct()
-    more = staged(_verified(staged(second.join(first, ["a", "b"], "left_anti")), sets, percent))
-    if more.isEmpty():
+    second = staged(second.join(first, ["a", "b"], "left_anti"))
+    more = None if second.isEmpty() else staged(_verified(second, docs, classes, repeated, percent))
+    if more is None or more.isEmpty():
         return table.select("doc_id", F.col("n").alias("n_shingles"), "cls", "uid"), _rooted(classes, roots), links
     links = links.unionByName(more)
     return table.select("doc_id", F.col("n").alias("n_shingles"), "cls", "uid"), _rooted(classes, components(links)), links
