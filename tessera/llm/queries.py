@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, pieces, quality, tokenfiles, toxicity
+from tessera.llm import jaccard, mixture, pieces, quality, tokenfiles, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_files": tokenfiles.op2_token_files,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_mixture": mixture.op6_mixture,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE = {
     "op5_jaccard_join": jaccard.OP5_SQL,
+    "op6_mixture": mixture.OP6_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
 }
