@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, mixture, pieces, quality, tokenfiles, toxicity
+from tessera.llm import jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_mixture": mixture.op6_mixture,
     "op7_quality_cascade": quality.op7_quality_cascade,
+    "op8_urls": urlfilter.op8_urls,
     "op10_pieces": pieces.op10_pieces,
 }
 
