@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
+from tessera.llm import chat, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_files": tokenfiles.op2_token_files,
+    "op3_chat": chat.op3_chat,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_mixture": mixture.op6_mixture,
     "op7_quality_cascade": quality.op7_quality_cascade,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_chat": chat.OP3_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op6_mixture": mixture.OP6_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
