@@ -23,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
 from tessera.llm.common import documents, staged
@@ -91,24 +91,38 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
 
 
-def _places(cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each (class, document)."""
+def _names(cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = X.mix(cls.view(np.uint64) + X.mix(doc_id.view(np.uint64)))
-    return np.stack([x & np.uint64(8 * FILTER - 1), (x >> np.uint64(32)) & np.uint64(8 * FILTER - 1)])
+        return X.mix(cls.view(np.uint64) + X.mix(doc_id.view(np.uint64)))
 
 
-def wanted_filter(members: DataFrame) -> np.ndarray:
-    """A Bloom filter of (cls, doc_id) rows in FILTER bytes."""
+def _long(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _places(names: np.ndarray) -> np.ndarray:
+    """Two bits of the filter for each name."""
+    return np.stack([names & np.uint64(8 * FILTER - 1), (names >> np.uint64(32)) & np.uint64(8 * FILTER - 1)])
+
+
+def _inside(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    at = _places(names)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
+
+
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter, in FILTER bytes, of (cls, doc_id) rows or of shingles."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER, np.uint8)
         for batch in batches:
-            at = _places(batch.column(0).to_numpy(), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)).reshape(-1)
+            first = _long(batch.column(0))
+            names = _names(first, _long(batch.column(1))) if batch.num_columns > 1 else X.mix(first.view(np.uint64))
+            at = _places(names).reshape(-1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield _blocks(bits)
 
-    return _summed(members.mapInArrow(mark, "block int, x binary"), FILTER, np.uint8, np.bitwise_or)
+    return _summed(wanted.mapInArrow(mark, "block int, x binary"), FILTER, np.uint8, np.bitwise_or)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -143,28 +157,51 @@ def _lists(parts: list[np.ndarray], kind: type = np.uint64, shown: type = np.int
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(values.view(shown)))
 
 
-def _signatures(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(uid, doc_id, n, cls, p1) of (doc_id, text); cls is null where there are no words."""
+def _doc_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """By slices of (doc_id, text): first row, shingle sets, places of the sets that aren't empty, and their classes."""
+    for i, value, offs in _shingles(batch, 1):
+        sets = [np.unique(value[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        full = np.array([k for k, v in enumerate(sets) if len(v)], np.int64)
+        yield i, sets, full, np.array([_class_of(sets[k]) for k in full], np.int64)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, cls) of (doc_id, text); cls is null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        counts = sketch.value
         for batch in batches:
-            for i, value, offs in _shingles(batch, 1):
-                n, cls, p1 = [], [], []
-                for a, b in zip(offs[:-1], offs[1:], strict=True):
-                    v = np.unique(value[a:b])
-                    n.append(len(v))
-                    cls.append(_class_of(v) if len(v) else None)
-                    p1.append(_prefix(v, by_frequency(v, counts), percent) if len(v) else v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(n))), batch.column(0).slice(i, len(n)), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(p1)], names=["uid", "doc_id", "n", "cls", "p1"])
-                uid += len(n)
+            for i, sets, full, cls in _doc_sets(batch):
+                names: list = [None] * len(sets)
+                for k, c in zip(full, cls.tolist(), strict=True):
+                    names[k] = c
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([len(v) for v in sets], pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n", "cls"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cls long")
 
-    return docs.mapInArrow(run, "uid long, doc_id long, n long, cls long, p1 array<long>")
+
+def _prefixes(docs: DataFrame, sketch, wanted, tokens, percent: int) -> DataFrame:
+    """(cls, token) of the first order's prefixes of the wanted documents, and of ``tokens`` if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bits, some = sketch.value, wanted.value, tokens.value if tokens else None
+        for batch in batches:
+            ids = _long(batch.column(0))
+            for i, sets, full, cls in _doc_sets(batch):
+                hit = _inside(bits, _names(cls, ids[i : i + len(sets)][full]))
+                parts = [_prefix(sets[k], by_frequency(sets[k], counts), percent) for k in full[hit]]
+                if not parts:
+                    continue
+                token, of = np.concatenate(parts), np.repeat(cls[hit], [len(p) for p in parts])
+                if some is not None:
+                    keep = _inside(some, X.mix(token))
+                    token, of = token[keep], of[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(token.view(np.int64))], names=["cls", "token"])
+
+    return docs.mapInArrow(run, "cls long, token long")
 
 
 def _sets(docs: DataFrame, wanted, percent: int) -> DataFrame:
-    """(cls, doc_id, p2, p3, s) of the wanted (doc_id, text): two further prefixes, as hash keys, and the whole set.
+    """(cls, p2, p3, s) of the wanted (doc_id, text): two further prefixes, as hash keys, and the whole set.
 
     The prefixes hold the upper halves of their sort keys: equal shingles have
     equal ones, so a shared shingle is never missed.
@@ -173,22 +210,17 @@ def _sets(docs: DataFrame, wanted, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, value, offs in _shingles(batch, 1):
-                sets = [np.unique(value[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-                full = [k for k, v in enumerate(sets) if len(v)]
-                cls = np.array([_class_of(sets[k]) for k in full], np.int64)
-                at = _places(cls, ids[i : i + len(sets)][full])
-                hit = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0) if len(full) else np.zeros(0, bool)
-                rows = [sets[k] for k, h in zip(full, hit, strict=True) if h]
-                keep = np.array(full, np.int64)[hit]
-                cols = [pa.array(cls[hit]), batch.column(0).slice(i, len(sets)).take(pa.array(keep))]
+            ids = _long(batch.column(0))
+            for i, sets, full, cls in _doc_sets(batch):
+                hit = _inside(bits, _names(cls, ids[i : i + len(sets)][full]))
+                rows = [sets[k] for k in full[hit]]
+                cols = [pa.array(cls[hit])]
                 for k in (2, 3):
                     keys = [np.sort(by_hash(v, k))[: prefix_size(len(v), percent)] >> np.uint64(32) for v in rows]
                     cols.append(_lists(keys, np.uint32, np.int32))
-                yield pa.RecordBatch.from_arrays([*cols, _lists(rows)], names=["cls", "doc_id", "p2", "p3", "s"])
+                yield pa.RecordBatch.from_arrays([*cols, _lists(rows)], names=["cls", "p2", "p3", "s"])
 
-    return docs.mapInArrow(run, "cls long, doc_id long, p2 array<int>, p3 array<int>, s array<long>")
+    return docs.mapInArrow(run, "cls long, p2 array<int>, p3 array<int>, s array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, percent: int) -> DataFrame:
@@ -216,57 +248,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: b
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Join (doc_id, text) with itself on shingle similarity.
 
-    Returns one row per document (doc_id, n_shingles, cls), the classes'
-    (cls, root), and the verified pairs of classes (a, b).  cls and root are
-    names of classes, not document ids; documents without words have a null
-    cls.  Pairs are links between different texts: enough of them to connect
-    each component, and every one that joins two components of the hub links.
-    Null and repeated doc_ids are kept as they are.
+    Returns a row per document (doc_id, n, cls), a row per class (cls, n,
+    doc_id, root, component_id), and verified pairs of classes (a, b).  A class
+    is a shingle set, doc_id its smallest, and component_id the smallest that
+    links reach.  Documents without words have a null cls.  The pairs connect
+    each component, and hold every link between components of the hub links.
+    Null and repeated doc_ids are kept as they are; a null one is never a
+    smallest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(docs.select("text")))
-    table = staged(_signatures(docs, sketch, percent))
-    classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("n").alias("n")))
-
+    share = docs.sparkSession.sparkContext.broadcast
+    table = staged(_classes(docs))
+    classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     repeated = not table.where("cls IS NOT NULL").groupBy("cls", "doc_id").count().where("count > 1").isEmpty()
 
-    rows = table.select("uid", "p1").join(classes.select("uid", "cls"), "uid").select("cls", F.explode("p1").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = staged(rows.join(often, "token").join(classes.select("cls", "n"), "cls"))
-
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    hub = shared.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
-    near = shared.join(hub, "token").select("cls", "n", F.explode(F.array("lo", "hi")).alias("h"))
-    near = near.select(F.col("cls").alias("a"), "n", F.col("h.cls").alias("b"), F.col("h.n").alias("m")).where("a <> b").where(fits)
-    first = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
+    sketch = share(frequency_sketch(docs.select("text")))
+    reps = share(wanted_filter(classes.select("cls", "doc_id")))
+    rows = _prefixes(docs, sketch, reps, None, percent)
+    often = staged(rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"))
+    tokens = share(wanted_filter(often.select("token")))
+    shared = _prefixes(docs, sketch, reps, tokens, percent).join(often, "token").select("token", "cls", "lo", "hi")
+    shared = staged(shared.distinct() if repeated else shared)
+
+    sized = lambda x, n: classes.select(F.col("cls").alias(x), F.col("n").alias(n))
+    fits = lambda df: df.join(sized("a", "na"), "a").join(sized("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    near = shared.select(F.col("cls").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    first = staged(fits(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     links = staged(_verified(first, docs, classes, repeated, percent))
     roots = components(links)
 
-    named = shared.join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    named = shared.select("token", "cls").join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
     split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = staged(named.join(split, "token"))
+    rest = staged(named.join(split, "token").join(sized("cls", "n"), "cls"))
     left, right = rest.select("token", F.col("cls").alias("a"), "n", F.col("root").alias("ra")), rest.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    second = left.join(right, "token").where("a < b AND ra <> rb").where(fits).select("a", "b").distinct()
+    second = left.join(right, "token").where("a < b AND ra <> rb").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
     second = staged(second.join(first, ["a", "b"], "left_anti"))
-    more = None if second.isEmpty() else staged(_verified(second, docs, classes, repeated, percent))
-    if more is None or more.isEmpty():
-        return table.select("doc_id", F.col("n").alias("n_shingles"), "cls", "uid"), _rooted(classes, roots), links
-    links = links.unionByName(more)
-    return table.select("doc_id", F.col("n").alias("n_shingles"), "cls", "uid"), _rooted(classes, components(links)), links
+    if not second.isEmpty():
+        more = staged(_verified(second, docs, classes, repeated, percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+    return table, _rooted(classes, roots), links
 
 
 def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(cls, uid, root, component_id): the class's first row, and its component's smallest doc_id."""
-    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "uid", "first_id", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "uid")).alias("x"))
-    return staged(named.join(least, "root").select("cls", "root", "component_id", F.col("x.uid").alias("keep_uid"), (F.col("x.uid") == F.col("uid")).alias("keep")))
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "n", "doc_id", F.coalesce("root", "cls").alias("root"))
+    return staged(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"))
+
+
+def with_components(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; one without words is its own."""
+    own = classes.select("cls", "component_id")
+    return table.join(own, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, classes, _ = jaccard_classes(documents(spark, sf_dir).select("doc_id", "text"))
-    return table.join(classes, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return with_components(table, classes)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one with the smallest doc_id.
+
+    Of rows that repeat that doc_id, the one with the smallest text stays; a
+    component whose doc_ids are all null keeps one row likewise.  Documents
+    without words all stay.
+    """
+    names = docs.columns
+    table, classes, _ = jaccard_classes(docs.select("doc_id", "text"))
+    marked = table.join(classes.select("cls", "root", "component_id"), "cls", "left")
+    keep = marked.where("cls IS NULL OR doc_id <=> component_id").select(F.col("doc_id").alias("__id"), "root").distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]))
+    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept.select(*names)
+    return _one_each(kept, names)
+
+
+def _one_each(kept: DataFrame, names: list[str]) -> DataFrame:
+    """One row of each (doc_id, root); all rows without words."""
+    wordy = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    order = Window.partitionBy("doc_id", "root").orderBy("text")
+    return kept.where(wordy & F.col("root").isNotNull()).withColumn("__row", F.row_number().over(order)).where("__row = 1").unionByName(kept.where(~wordy & F.col("root").isNull()).withColumn("__row", F.lit(1))).select(*names)
 
 
 OP5_SQL = r"""

@@ -105,12 +105,13 @@ def mix_sized(sized: DataFrame, key: str = "doc_id") -> DataFrame:
     over = u * (1 - F.col("__p"))
     kept = rows.join(strata, ["__src", "__bits"], "left")
     kept = kept.withColumn("__x", F.when(F.col("__p") > 0, over / (over + (1 - u) * F.col("__p"))))
-    kept = kept.withColumn("__bin", F.floor(F.col("__x") * F.greatest(F.lit(16), F.col("__rows") / BIN_ROWS)).cast("long"))
+    # rows that the sampler can't take are spread over bins of their own
+    spread = -1 - F.pmod(F.xxhash64(key, "size"), F.greatest(F.lit(16), F.col("__rows") / BIN_ROWS).cast("long"))
+    kept = kept.withColumn("__bin", F.coalesce(F.floor(F.col("__x") * F.greatest(F.lit(16), F.col("__rows") / BIN_ROWS)).cast("long"), spread, F.lit(-1).cast("long")))
     sums = kept.where("__x IS NOT NULL").groupBy("__src", "__bin").agg(F.sum("size").alias("__in"))
     sums = sums.withColumn("__before", F.coalesce(F.sum("__in").over(Window.partitionBy("__src").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__in")
     kept = kept.join(sums, ["__src", "__bin"], "left")
-    spread = F.when(F.col("__bin").isNull(), F.pmod(F.xxhash64(key), F.lit(1024))).otherwise(F.lit(-1))
-    within = Window.partitionBy("__src", "__bin", spread).orderBy("__x", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__src", "__bin").orderBy("__x", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
     done = F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     picked = F.col("__x").isNotNull() & (done + F.col("size") / 2 <= F.col("__rest"))
     copies = (F.coalesce("__sure", F.lit(0)) + F.coalesce(picked, F.lit(False)).cast("int")).cast("int")
