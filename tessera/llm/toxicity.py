@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tessera.llm import textops as X
 from tessera.llm.common import bucket_of, documents
 
-TRAIN_DOCS, TRAIN_CHARS = 2000, 40_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 40_000
 LANDMARKS, COMMON = 160, 40
 DECAY, WINDOW, STEP = 0.6, 24, 12
 #: Fits, each with the last one's worst errors added to the clean units.
@@ -230,6 +230,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _all_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``units_of`` by slices, for bounded memory."""
+    data, offsets = X.flat(pa.array(texts, pa.string()))
+    parts, base = [], 0
+    for i, j in X.slices(offsets):
+        r, u, d = units_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((r, u + base, d + i))
+        base += len(r)
+    if not base:
+        return np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, unit, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names = np.ascontiguousarray(rows).view(f"V{rows.shape[1] * 2}").reshape(-1)
+    _, first, same = np.unique(names, return_index=True, return_inverse=True)
+    pair = np.unique(doc * np.int64(len(first)) + same[unit])
+    return rows[first], pair % len(first), pair // len(first)
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Model of labelled texts; without texts of both labels every score is the share of toxic ones."""
     labels = np.asarray(labels) > 0
@@ -237,7 +254,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     plain = Model(np.zeros(CODES**3, np.float32), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if labels.all() or not labels.any():
         return plain
-    rows, unit, doc = units_of(*X.flat(pa.array(texts, pa.string())))
+    rows, unit, doc = _all_units(texts)
     if not len(rows):
         return plain
     df = np.stack([np.bincount(unit[labels[doc] == k], minlength=len(rows)) for k in (0, 1)]).astype(float)
