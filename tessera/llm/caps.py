@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textops as X
 from tessera.llm.common import documents, staged
@@ -31,7 +32,7 @@ from tessera.llm.components import components
 
 COSINE = 0.95
 #: Threshold in standard deviations of a random vector's inner product with a direction.
-TABLES, BLOCKS, WORDS, SIGMAS, SEED = 2, 3, 64, 3.9, 20240229
+TABLES, BLOCKS, WORDS, SIGMAS, SEED = 8, 2, 256, 3.65, 20240229
 BLOCK_ROWS, PAIRS = 256, 50_000
 
 
@@ -100,7 +101,7 @@ def _filters(classes: DataFrame) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(name.astype(np.int32)))], names=[*some.schema.names, "filters"])
 
-    return classes.mapInArrow(run, "cls long, n long, dim int, embedding array<double>, filters array<int>")
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("filters", T.ArrayType(T.IntegerType()))]))
 
 
 def _pairs(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,15 +146,10 @@ def _compare(block: pa.RecordBatch, cosine: float) -> pa.RecordBatch:
             if not len(i):
                 continue
             links.append((i, j))
-            p, q = padded[i], padded[j]
-            for k in range(0, len(i), 20_000):
-                pk, qk = p[k : k + 20_000], q[k : k + 20_000]
-                common = ((pk[:, :, None] == qk[:, None, :]) & (pk[:, :, None] >= 0)).any(2)
-                first = np.where(common, pk, np.iinfo(np.int64).max).min(1)
-                mine = first == name[i[k : k + 20_000]]
-                ii, jj = i[k : k + 20_000][mine], j[k : k + 20_000][mine]
-                np.add.at(add, ii, n[jj])
-                np.add.at(add, jj, n[ii])
+            mine = _first_shared(padded, i, j, name[i])
+            ii, jj = i[mine], j[mine]
+            np.add.at(add, ii, n[jj])
+            np.add.at(add, jj, n[ii])
     if links:
         i, j = np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
         while True:
@@ -167,6 +163,22 @@ def _compare(block: pa.RecordBatch, cosine: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[root[some]]), pa.array(add[some])], names=["a", "b", "add"])
 
 
+def _first_shared(lists: np.ndarray, i: np.ndarray, j: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """True where no filter below ``name`` stands in both ascending lists of a pair."""
+    mine = np.ones(len(i), bool)
+    open_ = np.arange(len(i))
+    for t in range(lists.shape[1]):
+        one = lists[i[open_], t]
+        below = (one >= 0) & (one < name[open_])
+        open_, one = open_[below], one[below]
+        if not len(open_):
+            break
+        found = (lists[j[open_]] == one[:, None]).any(1)
+        mine[open_[found]] = False
+        open_ = open_[~found]
+    return mine
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``_pairs`` of groups that need not be adjacent."""
     local = np.cumsum(sizes) - sizes
@@ -214,12 +226,13 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors link, also rows of one vec_id.  A component is named by its
     smallest vec_id; a null vec_id names none but its own.
     """
-    e = F.col("embedding").cast("array<double>")
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    e = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0)
     # adding 0.0 makes -0.0 and 0.0 one value
-    v = v.withColumn("cls", F.when(good, F.xxhash64(F.size("embedding"), F.transform("embedding", lambda x: x + F.lit(0.0)))))
+    v = v.withColumn("cls", F.when(good, F.xxhash64(F.size("embedding"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))))
     classes = staged(v.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding")))
     links, edges = cap_links(classes.select("cls", "n", F.size("embedding").alias("dim"), "embedding"), cosine)
     roots = components(edges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
+from tessera.llm import caps, chat, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_mixture": mixture.op6_mixture,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_urls": urlfilter.op8_urls,
+    "op9_cap_filters": caps.op9_cap_filters,
     "op10_pieces": pieces.op10_pieces,
 }
 
@@ -20,4 +21,5 @@ ORACLE = {
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op6_mixture": mixture.OP6_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
+    "op9_cap_filters": caps.OP9_SQL,
 }
