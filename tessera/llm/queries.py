@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import caps, chat, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
+from tessera.llm import caps, chat, gru, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_files": tokenfiles.op2_token_files,
     "op3_chat": chat.op3_chat,
+    "op4_gru": gru.op4_gru,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_mixture": mixture.op6_mixture,
     "op7_quality_cascade": quality.op7_quality_cascade,
