@@ -1,0 +1,38 @@
+"""Every registered analytics query against its SQL."""
+
+from __future__ import annotations
+
+import pytest
+
+from tessera.plans.queries import ORACLE, QUERIES
+
+
+def plain(value):
+    if value is None or value != value:
+        return "~"
+    if isinstance(value, float):
+        return round(value, 9)
+    return str(list(value)) if hasattr(value, "__len__") and not isinstance(value, str) else value
+
+
+def rows(df) -> list:
+    names = sorted(df.columns)
+    return names, sorted(tuple(plain(v) for v in r) for r in df[names].itertuples(index=False, name=None))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf, duck, name):
+    got = rows(QUERIES[name](spark, sf).toPandas())
+    if name in ORACLE:
+        want = rows(duck.sql(ORACLE[name]).df())
+        assert got[0] == want[0]
+        assert [list(map(str, r)) for r in got[1]] == [list(map(str, r)) for r in want[1]]
+    else:
+        assert got[1]
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).columns == ["event_id", "recipe_id", "repo", "outcome"]
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
