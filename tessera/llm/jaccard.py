@@ -11,9 +11,9 @@ what passes all three is verified on the whole sets.
 Groups of copies: texts with equal sets form one class and only classes are
 joined.  Within the rows of one prefix shingle, classes are first compared with
 two hubs (the smallest and the largest class); only where a shingle still holds
-classes of different components are these compared pairwise.  So a group of
-near copies costs a linear number of pairs, and a link between different
-components is never missed.
+classes of different components are these compared in full, block by block
+inside tasks.  So a group of near copies makes a linear number of rows, and a
+link between different components is never missed.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ PERCENT = 80
 SKETCH, BLOCKS = 1 << 20, 256
 #: Bytes of the filter of wanted documents (a power of two): fixed, so a full filter costs time and no results.
 FILTER = 1 << 22
+#: Classes of a block that are compared in one task with those of another, and shingles of theirs counted at once.
+BLOCK_ROWS, COLUMNS = 256, 4096
 
 
 def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -245,6 +247,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: b
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _forest(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (i, j) connect: a node and its smallest place."""
+    root = np.arange(len(cls))
+    while True:
+        low = np.minimum(root[i], root[j])
+        if (root[i] == low).all() and (root[j] == low).all():
+            break
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        root = root[root]
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return cls[some], cls[root[some]]
+
+
+def _compare_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the classes of one unit (group, a, b, side, cls, root, s)."""
+    a, b, side, cls, root = (unit.column(k).to_numpy() for k in range(1, 6))
+    lists = unit.column(6)
+    n = np.diff(lists.offsets.to_numpy())
+    token, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1], np.repeat(np.arange(len(n)), n)
+    often = np.bincount(token) > 1
+    column = np.cumsum(often) - 1
+    keep = often[token]
+    token, of = column[token[keep]], of[keep]
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    shared = np.zeros((len(n), len(n)), np.float32)
+    for k in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(token, [k, k + COLUMNS])
+        held = np.zeros((len(n), COLUMNS), np.float32)
+        held[of[i:j], token[i:j] - k] = 1
+        shared += held @ held.T
+    size = n.astype(np.float32)
+    hit = np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1) & (root[:, None] != root[None, :])
+    if a[0] != b[0]:
+        hit &= side[:, None] != side[None, :]
+    return _forest(cls, *np.nonzero(hit))
+
+
+def _across(rest: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, percent: int) -> DataFrame:
+    """Links (a, b) between different components, of the rows (token, cls, root) of shingles that hold several.
+
+    Classes that shingles hold together, directly or in steps, form a group;
+    a group's classes are dealt to blocks by hash, and each pair of blocks is a
+    unit whose sets are all compared in one task.  So every pair that shares a
+    shingle is compared, no pair is a row, and no task holds a group.
+    """
+    schema = "a long, b long"
+    hub = rest.groupBy("token").agg(F.min("cls").alias("lo"))
+    group = components(rest.join(hub, "token").select(F.col("cls").alias("a"), F.col("lo").alias("b")))
+    member = rest.select("cls", "root").distinct().join(group.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
+    if member.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(classes.join(member.select("cls"), "cls").select("cls", "doc_id")))
+    sets = _sets(docs, wanted, percent).select("cls", "s")
+    sets = staged(sets.dropDuplicates(["cls"]))
+    blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    unit = member.join(blocks, "group").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = unit.select("cls", "root", "group", F.least("k", "o").alias("ka"), F.greatest("k", "o").alias("kb"), (F.col("k") > F.col("o")).cast("int").alias("side"))
+    full = unit.join(sets, "cls").select("group", F.col("ka").alias("a"), F.col("kb").alias("b"), "side", "cls", "root", "s")
+    dealt = full.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches, 3):
+            if unit.num_rows > 1:
+                a, b = _compare_unit(unit, percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
+def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that agree in their first ``keys`` columns, across batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        cuts = [0, *change.tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(i, j - i)
+            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in range(keys)):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Join (doc_id, text) with itself on shingle similarity.
 
@@ -279,15 +372,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 
     named = shared.select("token", "cls").join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
     split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = staged(named.join(split, "token").join(sized("cls", "n"), "cls"))
-    left, right = rest.select("token", F.col("cls").alias("a"), "n", F.col("root").alias("ra")), rest.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    second = left.join(right, "token").where("a < b AND ra <> rb").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
-    second = staged(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = staged(_verified(second, docs, classes, repeated, percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+    rest = staged(named.join(split, "token"))
+    more = staged(_across(rest, docs, classes, repeated, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
     return table, _rooted(classes, roots), links
 
 
