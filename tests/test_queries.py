@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+import tessera.plans.decisions  # noqa: F401  (registers its queries)
 from tessera.plans.queries import ORACLE, QUERIES
 
 
