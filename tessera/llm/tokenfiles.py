@@ -17,7 +17,6 @@ repeated task leaves one file.
 from __future__ import annotations
 
 import gc
-import re
 import struct
 import uuid
 import zlib
@@ -50,7 +49,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_WIDE = re.compile(r"\s ")
+#: White space before a space.
+_WIDE = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
 
 
 def spaced_words(text: str) -> list[str]:
@@ -60,7 +60,7 @@ def spaced_words(text: str) -> list[str]:
     side does not depend on the other, so the parts encode by themselves.
     """
     parts = text.split(" ")
-    if not _WIDE.search(text):
+    if not any(w in text for w in _WIDE):
         return [parts[0], *[" " + p for p in parts[1:]]]
     out, open_ = [], parts[0]
     for p in parts[1:]:
