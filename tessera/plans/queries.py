@@ -39,13 +39,13 @@ def last(column: str = "event_id") -> list:
 # --- Document queries: filters, order and paging -------------------------------------------------
 
 
-@query("vcl_failed_outcomes", f"{with_views('outcomes')} SELECT event_id, recipe_id, repo, outcome FROM outcomes WHERE outcome = 'failure' ORDER BY ts DESC, event_id DESC LIMIT 100")
-def vcl_failed_outcomes(spark, d):
+@query("l05_failed_outcomes", f"{with_views('outcomes')} SELECT event_id, recipe_id, repo, outcome FROM outcomes WHERE outcome = 'failure' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def l05_failed_outcomes(spark, d):
     return P.paged(V.outcomes(spark, d).where("outcome = 'failure'"), last(), 100).select("event_id", "recipe_id", "repo", "outcome")
 
 
-@query("vcl_offset_page", f"{with_views('outcomes')} SELECT event_id, bot, outcome FROM outcomes WHERE bot = 'bot-1' AND outcome <> 'success' ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 40")
-def vcl_offset_page(spark, d):
+@query("l07_offset_page", f"{with_views('outcomes')} SELECT event_id, bot, outcome FROM outcomes WHERE bot = 'bot-1' AND outcome <> 'success' ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 40")
+def l07_offset_page(spark, d):
     return P.paged(V.outcomes(spark, d).where("bot = 'bot-1' AND outcome <> 'success'"), last(), 25, 40).select("event_id", "bot", "outcome")
 
 
