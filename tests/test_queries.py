@@ -9,11 +9,13 @@ from tessera.plans.queries import ORACLE, QUERIES
 
 
 def plain(value):
+    if hasattr(value, "__len__") and not isinstance(value, str):
+        return str(list(value))
     if value is None or value != value:
         return "~"
     if isinstance(value, float):
         return round(value, 9)
-    return str(list(value)) if hasattr(value, "__len__") and not isinstance(value, str) else value
+    return value
 
 
 def rows(df) -> list:
