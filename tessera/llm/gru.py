@@ -8,10 +8,9 @@ factored: a class given the state, then the word within its class given the
 state; a tail word has its smoothed share of the tail's counts, with one share
 for all unknown words, so the probabilities sum to one.
 
-Training: documents of a fixed share (one in RATE, by hash) are dealt to
-replicas of about REPLICA_TOKENS tokens, each goes through them in windows of
-WINDOW steps with the state carried on, and replicas are averaged by tokens
-after each round.  Biases start at the counts, so the untrained network is the
+Training: all training documents are dealt to replicas of about REPLICA_TOKENS
+tokens, each goes through them in windows of WINDOW steps with the state carried
+on, and replicas are averaged by tokens after each round.  Biases start at the counts, so the untrained network is the
 unigram model.  Scoring: every document is one sequence; lanes of documents run
 window by window with their states carried, so a text is scored to its end.
 """
@@ -36,7 +35,7 @@ SHORT, CLASS = 4096, 64
 #: Words, at most, whose counts every task gets (24 bytes each); the rest meet their counts in a join.
 COMMON = 1 << 18
 WIDTH = 24
-RATE, REPLICA_TOKENS, ROUNDS, WINDOW, LANES = 16, 400_000, 3, 24, 64
+REPLICA_TOKENS, ROUNDS, WINDOW, LANES = 400_000, 3, 24, 64
 LEARN, CLIP = 0.01, 1.0
 SCORE_TOKENS, SCORE_WINDOW, SCORE_LANES = 1_500_000, 64, 256
 #: Name of the end token among the word hashes.
@@ -350,7 +349,7 @@ def _encoded(batch_text: pa.Array, v: Vocabulary) -> Iterator[tuple[int, np.ndar
 
 
 def trained(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters after ROUNDS rounds of replicas over one in RATE of (doc_id, text)."""
+    """Parameters after ROUNDS rounds of replicas over all rows of (doc_id, text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
     p = start_params(v)
@@ -363,8 +362,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             for _, ids, offs, _, _ in _encoded(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["ids"])
 
-    some = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(RATE)) == 0)
-    ids = staged(some.mapInArrow(encode, "ids array<int>").withColumn("deal", F.xxhash64("ids")))
+    ids = staged(docs.mapInArrow(encode, "ids array<int>").withColumn("deal", F.xxhash64("ids")))
     tokens = ids.agg(F.sum(F.size("ids"))).first()[0] or 0
     if not tokens:
         return p
@@ -392,14 +390,14 @@ def trained(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             if texts:
                 go()
             if done:
-                x = np.pad(flat_params(trainer.p).astype(np.float64), (0, blocks * size - len(flat))).reshape(blocks, size)
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([float(done)] * blocks), pa.array([zlib.compress((y * done).tobytes(), 1) for y in x], pa.binary())], names=["block", "n", "x"])
+                x = np.pad(flat_params(trainer.p), (0, blocks * size - len(flat))).reshape(blocks, size)
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([float(done)] * blocks), pa.array([zlib.compress(y.tobytes(), 1) for y in x], pa.binary())], names=["block", "n", "x"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for batch in batches:
                 for b, n, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    y = np.frombuffer(zlib.decompress(x))
+                    y = np.frombuffer(zlib.decompress(x), np.float32) * np.float64(n)
                     sums[b] = [sums[b][0] + n, sums[b][1] + y] if b in sums else [n, y]
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([zlib.compress(s[1].tobytes(), 1) for s in sums.values()], pa.binary())], names=["block", "n", "x"])

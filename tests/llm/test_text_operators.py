@@ -216,6 +216,16 @@ def test_gru_counts(spark, sf, odd_docs):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_gru_learns_from_every_document(spark, make_docs):
+    text = "the cat sat on the mat and the dog sat on the cat"
+    counts = Counter({int(h): c for h, c in gru.word_counts(make_docs([(1, text, "s")]).select("text")).collect()})
+    words, numbers = (np.array(x) for x in zip(*counts.most_common(), strict=True))
+    v = gru.Vocabulary.build(words.astype(np.int64).view(np.uint64), numbers, int(numbers.sum()), len(words))
+    start = gru.flat_params(gru.start_params(v))
+    for k in (1, 2, 3, None):
+        assert not np.array_equal(gru.flat_params(gru.trained(make_docs([(k, text, "s")], 1), v)), start)
+
+
 def test_gru_probabilities_sum_to_one():
     v = gru.Vocabulary.build(np.arange(1, 9001, dtype=np.uint64), np.arange(9000, 0, -1), 9000 * 9001 // 2, 9000)
     p = gru.start_params(v)
