@@ -14,6 +14,10 @@ two hubs (the smallest and the largest class); only where a shingle still holds
 classes of different components are these compared in full, block by block
 inside tasks.  So a group of near copies makes a linear number of rows, and a
 link between different components is never missed.
+
+All links: a link never leaves a component, so once components are known, the
+classes of each are compared in full, by the same blocks, and every task sums
+the links of its classes; the pairs themselves are never rows.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ PERCENT = 80
 SKETCH, BLOCKS = 1 << 20, 256
 #: Bytes of the filter of wanted documents (a power of two): fixed, so a full filter costs time and no results.
 FILTER = 1 << 22
-#: Classes of a block that are compared in one task with those of another, and shingles of theirs counted at once.
-BLOCK_ROWS, COLUMNS = 256, 4096
+#: Classes, and shingles of theirs, of a block that is compared in one task with another, and shingles counted at once.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
 
 
 def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -261,9 +265,9 @@ def _forest(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return cls[some], cls[root[some]]
 
 
-def _compare_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between the classes of one unit (group, a, b, side, cls, root, s)."""
-    a, b, side, cls, root = (unit.column(k).to_numpy() for k in range(1, 6))
+def _unit_links(unit: pa.RecordBatch, percent: int) -> np.ndarray:
+    """Which classes of one unit (group, a, b, side, cls, x, s) link, as an upper triangle; each pair in one unit only."""
+    a, b, side = (unit.column(k).to_numpy() for k in range(1, 4))
     lists = unit.column(6)
     n = np.diff(lists.offsets.to_numpy())
     token, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1], np.repeat(np.arange(len(n)), n)
@@ -280,43 +284,79 @@ def _compare_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.nd
         held[of[i:j], token[i:j] - k] = 1
         shared += held @ held.T
     size = n.astype(np.float32)
-    hit = np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1) & (root[:, None] != root[None, :])
+    hit = np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1)
     if a[0] != b[0]:
         hit &= side[:, None] != side[None, :]
-    return _forest(cls, *np.nonzero(hit))
+    return hit
 
 
-def _across(rest: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, percent: int) -> DataFrame:
-    """Links (a, b) between different components, of the rows (token, cls, root) of shingles that hold several.
+def _compare_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the classes of one unit (group, a, b, side, cls, root, s)."""
+    cls, root = unit.column(4).to_numpy(), unit.column(5).to_numpy()
+    return _forest(cls, *np.nonzero(_unit_links(unit, percent) & (root[:, None] != root[None, :])))
+
 
-    Classes that shingles hold together, directly or in steps, form a group;
-    a group's classes are dealt to blocks by hash, and each pair of blocks is a
-    unit whose sets are all compared in one task.  So every pair that shares a
-    shingle is compared, no pair is a row, and no task holds a group.
+def _count_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that each class of one unit (group, a, b, side, cls, m, s) links with in it; m is the documents of a class."""
+    cls, m = unit.column(4).to_numpy(), unit.column(5).to_numpy()
+    i, j = np.nonzero(_unit_links(unit, percent))
+    add = np.zeros(len(cls), np.int64)
+    np.add.at(add, i, m[j])
+    np.add.at(add, j, m[i])
+    some = np.flatnonzero(add)
+    return cls[some], add[some]
+
+
+def _by_units(member: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, compare, schema: str) -> DataFrame:
+    """What ``compare`` makes of each unit of (cls, x, group): two of its columns by ``schema``.
+
+    A group's classes are dealt to blocks by hash, and each pair of blocks is a
+    unit whose sets are all compared in one task, so no task holds a group.
     """
-    schema = "a long, b long"
-    hub = rest.groupBy("token").agg(F.min("cls").alias("lo"))
-    group = components(rest.join(hub, "token").select(F.col("cls").alias("a"), F.col("lo").alias("b")))
-    member = rest.select("cls", "root").distinct().join(group.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
-    if member.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(classes.join(member.select("cls"), "cls").select("cls", "doc_id")))
     sets = _sets(docs, wanted, percent).select("cls", "s")
     sets = staged(sets.dropDuplicates(["cls"]))
-    blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    fill = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+    blocks = member.join(classes.select("cls", "n"), "cls").groupBy("group").agg(F.ceil(fill).cast("int").alias("blocks"))
     unit = member.join(blocks, "group").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = unit.select("cls", "root", "group", F.least("k", "o").alias("ka"), F.greatest("k", "o").alias("kb"), (F.col("k") > F.col("o")).cast("int").alias("side"))
-    full = unit.join(sets, "cls").select("group", F.col("ka").alias("a"), F.col("kb").alias("b"), "side", "cls", "root", "s")
+    unit = unit.select("cls", "x", "group", F.least("k", "o").alias("ka"), F.greatest("k", "o").alias("kb"), (F.col("k") > F.col("o")).cast("int").alias("side"))
+    full = unit.join(sets, "cls").select("group", F.col("ka").alias("a"), F.col("kb").alias("b"), "side", "cls", "x", "s")
     dealt = full.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "cls")
+    names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, 3):
             if unit.num_rows > 1:
-                a, b = _compare_unit(unit, percent)
+                a, b = compare(unit, percent)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names)
 
-    return dealt.mapInArrow(run, schema).distinct()
+    return dealt.mapInArrow(run, schema)
+
+
+def _across(rest: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components, of the rows (token, cls, root) of shingles that hold several.
+
+    Classes that shingles hold together, directly or in steps, form a group
+    that is compared by units.  So every pair that shares a shingle is compared
+    and no pair is a row.
+    """
+    schema = "a long, b long"
+    hub = rest.groupBy("token").agg(F.min("cls").alias("lo"))
+    group = components(rest.join(hub, "token").select(F.col("cls").alias("a"), F.col("lo").alias("b")))
+    member = rest.select("cls", "root").distinct().join(group.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
+    if member.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    return _by_units(member.withColumnRenamed("root", "x"), docs, classes, percent, _compare_unit, schema).distinct()
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(cls, n_links): how many documents of other classes link with each class, of the classes by ``jaccard_classes``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = classes.groupBy("root").count().where("count > 1").select("root")
+    member = staged(classes.join(several, "root").select("cls", F.col("m").alias("x"), F.col("root").alias("group")))
+    counts = _by_units(member, docs, classes, percent, _count_unit, "cls long, add long")
+    return counts.groupBy("cls").agg(F.sum("add").alias("n_links"))
 
 
 def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -342,17 +382,18 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """Join (doc_id, text) with itself on shingle similarity.
 
     Returns a row per document (doc_id, n, cls), a row per class (cls, n,
-    doc_id, root, component_id), and verified pairs of classes (a, b).  A class
-    is a shingle set, doc_id its smallest, and component_id the smallest that
+    m, doc_id, root, component_id), and verified pairs of classes (a, b).  A class
+    is a shingle set, m its documents, doc_id their smallest, and component_id the smallest that
     links reach.  Documents without words have a null cls.  The pairs connect
-    each component, and hold every link between components of the hub links.
+    each component, and hold every link between components of the hub links;
+    ``link_counts`` counts all links.
     Null and repeated doc_ids are kept as they are; a null one is never a
     smallest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     share = docs.sparkSession.sparkContext.broadcast
     table = staged(_classes(docs))
-    classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("m")))
     repeated = not table.where("cls IS NOT NULL").groupBy("cls", "doc_id").count().where("count > 1").isEmpty()
 
     sketch = share(frequency_sketch(docs.select("text")))
@@ -373,7 +414,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     named = shared.select("token", "cls").join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
     split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     rest = staged(named.join(split, "token"))
-    more = staged(_across(rest, docs, classes, repeated, percent))
+    more = staged(_across(rest, docs, classes, percent))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
@@ -381,7 +422,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 
 
 def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "n", "doc_id", F.coalesce("root", "cls").alias("root"))
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "n", "m", "doc_id", F.coalesce("root", "cls").alias("root"))
     return staged(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"))
 
 
@@ -391,11 +432,26 @@ def with_components(table: DataFrame, classes: DataFrame) -> DataFrame:
     return table.join(own, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def with_links(table: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``with_components`` and n_links: the other documents that a document links with, its copies included."""
+    own = classes.join(counts, "cls", "left").select("cls", "component_id", (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return table.join(own, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, classes, _ = jaccard_classes(documents(spark, sf_dir).select("doc_id", "text"))
     return with_components(table, classes)
 
 
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of ``op5_jaccard_join`` with the number of each document's links."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    table, classes, _ = jaccard_classes(docs)
+    return with_links(table, classes, link_counts(docs, classes))
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
@@ -437,3 +493,22 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
+
+LINKS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)
+), k AS (SELECT a AS doc_id, count(*) AS k FROM l GROUP BY a
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id, coalesce(any_value(k.k), 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_urls": urlfilter.op8_urls,
     "op9_cap_filters": caps.op9_cap_filters,
     "op10_pieces": pieces.op10_pieces,
+    "jaccard_links": jaccard.jaccard_links,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op6_mixture": mixture.OP6_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
     "op9_cap_filters": caps.OP9_SQL,
+    "jaccard_links": jaccard.LINKS_SQL,
 }

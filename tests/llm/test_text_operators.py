@@ -125,6 +125,31 @@ def test_jaccard(spark, make_docs, odd_docs, seed):
     assert links.count() == links.distinct().count()
 
 
+@pytest.mark.parametrize("block_rows", [256, 3])
+def test_jaccard_links(spark, make_docs, odd_docs, monkeypatch, block_rows):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    docs = make_docs([(d, t, "s") for d, t in near_copies(5, 4, 12)]).unionByName(odd_docs)
+    all_rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    table, classes, _ = jaccard.jaccard_classes(docs)
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in jaccard.with_links(table, classes, jaccard.link_counts(docs, classes)).collect())
+    sets = [shingles(t) for _, t in all_rows]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    want = [sum(bool(linked(x, y)) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    assert sorted((g[0], g[1], g[3]) for g in got) == sorted((repr(d), len(x), k) for (d, _), x, k in zip(all_rows, sets, want, strict=True))
+    assert [g[:3] for g in got] == brute_components(all_rows)
+    assert max(want) > 3
+
+
+def test_jaccard_links_sql(spark, sf):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    out = jaccard.jaccard_links(spark, sf)
+    want = duck.sql(jaccard.LINKS_SQL)
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(want.fetchall())
+
+
 def test_jaccard_stage(spark, sf, make_docs, odd_docs, no_docs):
     docs = make_docs([(d, t, "s") for d, t in near_copies(3)]).unionByName(odd_docs)
     out = jaccard.jaccard_stage(spark, docs, sf)
