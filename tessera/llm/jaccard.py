@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tessera.llm import textops as X
 from tessera.llm.common import documents, staged
@@ -455,25 +455,51 @@ def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id, the one with the smallest text stays; a
+    Of its rows that repeat that doc_id, the one with the smallest text stays; a
     component whose doc_ids are all null keeps one row likewise.  Documents
     without words all stay.
     """
     names = docs.columns
     table, classes, _ = jaccard_classes(docs.select("doc_id", "text"))
     marked = table.join(classes.select("cls", "root", "component_id"), "cls", "left")
-    keep = marked.where("cls IS NULL OR doc_id <=> component_id").select(F.col("doc_id").alias("__id"), "root").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]))
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.select(*names)
-    return _one_each(kept, names)
-
-
-def _one_each(kept: DataFrame, names: list[str]) -> DataFrame:
-    """One row of each (doc_id, root); all rows without words."""
-    wordy = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    order = Window.partitionBy("doc_id", "root").orderBy("text")
-    return kept.where(wordy & F.col("root").isNotNull()).withColumn("__row", F.row_number().over(order)).where("__row = 1").unionByName(kept.where(~wordy & F.col("root").isNull()).withColumn("__row", F.lit(1))).select(*names)
+    keep = staged(marked.where("cls IS NULL OR doc_id <=> component_id").select("doc_id", "cls", "root"))
+    ids = keep.where("doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    several = table.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(ids, "doc_id", "left_semi").select(*names)
+    if several.isEmpty() and keep.where("doc_id IS NULL").isEmpty():
+        return kept
+    rows = _with_class(kept.unionByName(docs.where("doc_id IS NULL")))
+    return _one_each(rows, keep, names)
+
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with the class of each row's own text as __cls; null where there are no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            two = pa.RecordBatch.from_arrays([batch.column(text)] * 2, names=["x", "text"])
+            for i, sets, full, cls in _doc_sets(two):
+                own: list = [None] * len(sets)
+                for k, c in zip(full, cls.tolist(), strict=True):
+                    own[k] = c
+                part = batch.slice(i, len(sets))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "__cls"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())]))
+
+
+def _one_each(rows: DataFrame, keep: DataFrame, names: list[str]) -> DataFrame:
+    """Of the rows with their own class: one of each root that ``keep`` names by (doc_id, cls); all rows without words.
+
+    The one is a smallest row by text, found by partial aggregates, so many rows of one root don't meet in a task.
+    """
+    rows = staged(rows)
+    named = keep.where("cls IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__of"), "root").distinct().withColumnRenamed("root", "__root")
+    worded = rows.where("__cls IS NOT NULL").join(named, (F.col("__cls") == F.col("__of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    first = F.min(F.struct("text", *[n for n in names if n != "text"])).alias("__row")
+    one = worded.groupBy("__root").agg(first).select(*[F.col("__row").getField(n).alias(n) for n in names])
+    return one.unionByName(rows.where("__cls IS NULL").select(*names))
 
 
 OP5_SQL = r"""

@@ -161,6 +161,17 @@ def test_jaccard_stage(spark, sf, make_docs, odd_docs, no_docs):
     assert jaccard.jaccard_stage(spark, no_docs, sf).count() == 0
 
 
+def test_jaccard_stage_null_and_repeated_ids(spark, sf, make_docs):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcde")
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "t"), (None, c + " tail", "s"), (3, c, "s"), (7, d, "s"), (7, e, "s"), (7, a + " more", "s"), (2, d + " x", "s"), (None, "", "s"), (None, None, "s"), (9, " ", "s"), (9, " ", "s")]
+    out = jaccard.jaccard_stage(spark, make_docs(rows), sf)
+    # a + " more" names a's component by 7; d's by 2, c's by 3; b has null ids only
+    want = [(None, b, "s"), (3, c, "s"), (7, e, "s"), (7, a + " more", "s"), (2, d + " x", "s"), *rows[9:]]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["source"]) for r in out.collect()))) == sorted(map(repr, want))
+    alone = make_docs([(None, x, "s") for x in (a, b, c)])
+    assert sorted(r["text"] for r in jaccard.jaccard_stage(spark, alone, sf).collect()) == [a, b, c]
+
+
 def test_pieces(spark, sf, odd_docs, no_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd_docs).withColumn("n_tokens", F.lit("clash"))
