@@ -17,6 +17,7 @@ repeated task leaves one file.
 from __future__ import annotations
 
 import gc
+import re
 import struct
 import uuid
 import zlib
@@ -106,13 +107,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        #: Added tokens are found in whole texts, before words; the longest first where one begins another.
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.whole, key=len, reverse=True))) + ")") if self.whole else None
         self.cache: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        """``spaced_words`` between the added tokens, which stay whole."""
+        if self.added is None or not self.added.search(text):
+            return spaced_words(text)
+        return [w for k, x in enumerate(self.added.split(text)) for w in ([x] if k % 2 else spaced_words(x))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        split = [spaced_words(t) for t in texts]
+        split = [self.words(t) for t in texts]
         cache = self.cache
         new = list({w for ws in split for w in ws if w not in cache})
         if len(cache) + len(self.parts) + len(new) > CACHED_WORDS:
@@ -120,7 +129,7 @@ class Encoder:
             self.parts.clear()
             cache[""] = b""
             new = list({w for ws in split for w in ws if w})
-        cut = [parts_of(w) for w in new]
+        cut = [[w] if w in self.whole else parts_of(w) for w in new]
         known = self.parts
         fresh = list({p for ps in cut for p in ps if p not in known})
         for i in range(0, len(fresh), WORDS_PER_CALL):

@@ -229,6 +229,17 @@ def test_damaged_frame_is_found(spark, make_docs):
     assert np.frombuffer(reader.frame(1), "<u4")[-1] == 2
 
 
+def test_added_tokens_stay_whole():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenfiles.vocabulary_path())
+    e = "<|endoftext|>"
+    some = [f"a {e} b", e, e + e, f"x{e}y", f" {e}  {e}\n", f"one two.{e}\n three", f"<|{e}|>", f"{e[:-1]} {e}", "plain text", "", f"a\n\n {e} \n b  c"]
+    assert t.encode(some[0], add_special_tokens=False).ids.count(50256) == 1
+    got = tokenfiles.Encoder(tokenfiles.vocabulary_path()).encode(some)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
+
+
 def test_words_encode_apart():
     e = tokenfiles.Encoder(tokenfiles.vocabulary_path())
     r = random.Random(9)
