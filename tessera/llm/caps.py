@@ -34,6 +34,8 @@ COSINE = 0.95
 #: Threshold in standard deviations of a random vector's inner product with a direction.
 TABLES, BLOCKS, WORDS, SIGMAS, SEED = 8, 2, 256, 3.65, 20240229
 BLOCK_ROWS, PAIRS = 256, 50_000
+#: Components up to which the threshold leaves no filters or few: such vectors are all compared, by blocks.
+SMALL_DIM = 16
 
 
 @lru_cache(maxsize=8)
@@ -87,7 +89,7 @@ def decode(unit: np.ndarray, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.nda
 
 
 def _filters(classes: DataFrame) -> DataFrame:
-    """``classes`` (cls, n, dim, embedding) with their filters."""
+    """``classes`` (cls, n, dim, embedding) with their filters; vectors of one length up to SMALL_DIM share a single one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +99,10 @@ def _filters(classes: DataFrame) -> DataFrame:
                 for dim in np.unique(dims):
                     some = part.take(pa.array(np.flatnonzero(dims == dim)))
                     x = some.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                    row, name = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    if dim <= SMALL_DIM:
+                        row, name = np.arange(len(x)), np.full(len(x), TABLES * WORDS**BLOCKS + dim)
+                    else:
+                        row, name = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(name.astype(np.int32)))], names=[*some.schema.names, "filters"])
 

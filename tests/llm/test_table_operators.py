@@ -238,6 +238,18 @@ def test_embeddings(spark):
     assert caps.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_few_components(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim in (2, 8, 16):
+        base = rng.standard_normal((20, dim))
+        rows += [v + e * 0.2 / math.sqrt(dim) * np.linalg.norm(v) for v in base for e in [np.zeros(dim), *rng.standard_normal((15, dim))]]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    want = [sum(len(a) == len(b) and i != j and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95 for j, b in enumerate(rows)) for i, a in enumerate(rows)]
+    got = {r["vec_id"]: r["n_links"] for r in caps.embedding_groups(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want and all(any(want[k : k + 320]) for k in (0, 320, 640))
+
+
 def test_pipeline(spark, sf, odd_docs):
     import corpus_pipeline
 
