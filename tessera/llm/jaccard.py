@@ -4,20 +4,31 @@ A text's set is its distinct 5-word shingles (64-bit hashes).  If two sets have
 a Jaccard similarity of t or more, then under *any* total order of shingles
 their prefixes of n - ceil(t n) + 1 shingles share one.  Three orders are used:
 by corpus frequency (from a fixed-size count sketch of all documents, ties by
-hash) and by two independent hashes.  Sharing under the first finds candidates
-in a shuffle join; sharing under the others is tested before verification, and
-what passes all three is verified on the whole sets.
-
-Groups of copies: texts with equal sets form one class and only classes are
-joined.  Within the rows of one prefix shingle, classes are first compared with
-two hubs (the smallest and the largest class); only where a shingle still holds
-classes of different components are these compared in full, block by block
-inside tasks.  So a group of near copies makes a linear number of rows, and a
-link between different components is never missed.
-
-All links: a link never leaves a component, so once components are known, the
-classes of each are compared in full, by the same blocks, and every task sums
-the links of its classes; the pairs themselves are never rows.
+hash) and by two independent hashes.  More than that: what two sets share
+beyond both prefixes stands in the rest of the one whose prefix ends first, so
+the prefixes have to share as many as the rest leaves open (``needed``).  A pair
+is a candidate if they do under all three; candidates are verified on the whole
+sets.
+
+Texts with equal sets form one class, and only classes are joined.  The first
+order deals classes to lists, one for each prefix shingle that several hold:
+
+* Short lists (up to HEAVY classes) give pairs of classes as rows, at most
+  HEAVY / 2 for each row of a list; they are counted, and the other orders and
+  the sets follow in joins by class.
+* Classes that long lists hold together, directly or in steps, form a group.
+  Its classes are dealt to blocks, and every pair of blocks is one unit of work:
+  a task applies size and both further orders to all pairs of the unit, then
+  compares sets, and returns the number of links of each class and links that
+  span what is linked.  So a group of k near copies makes k * blocks rows, and
+  neither pairs nor a whole group meet in the data.
+
+Every pair that shares a prefix shingle is in one of the two, so no link is
+lost and each is counted once.  Groups grow by steps; where frequent shingles
+chained many unlike texts together, the blocks' work would grow with the square
+of their number.  The frequency order is what prevents that: a shingle that
+many texts hold is in a prefix only where four fifths of the text are more
+frequent still.
 """
 
 from __future__ import annotations
@@ -30,20 +41,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import documents, staged
+from tessera.llm.common import Scratch, documents, staged
 from tessera.llm.components import components
 
 WIDTH = 5
 #: Similarity in percent.
 PERCENT = 80
-#: Counters of the frequency sketch (a power of two) and blocks that it is summed in.
-SKETCH, BLOCKS = 1 << 20, 256
+#: Counters of the frequency sketch (a power of two) and blocks that it is summed in.  Its size is fixed: the more
+#: shingles share a counter, the later a frequent shingle stands out; lists get longer, and results stay the same.
+SKETCH, BLOCKS = 1 << 24, 256
+#: Steps of the counts that tasks get, an octave: a byte holds each.
+STEPS = 8
 #: Bytes of the filter of wanted documents (a power of two): fixed, so a full filter costs time and no results.
-FILTER = 1 << 22
+FILTER = 1 << 23
+#: Classes of a prefix shingle from which its pairs are compared in blocks instead of as rows; and documents (by the
+#: sketch) from which a shingle is taken for such a one without counting its classes at one place.
+HEAVY, HOT = 64, 1 << 20
 #: Classes, and shingles of theirs, of a block that is compared in one task with another, and shingles counted at once.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
+#: Pairs of rows that are counted at once.
+PAIRS = 1 << 22
 
 
 def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -84,22 +104,33 @@ def _blocks(total: np.ndarray) -> pa.RecordBatch:
 
 
 def frequency_sketch(texts: DataFrame) -> np.ndarray:
-    """Counts of all shingles of a one-column text table, in SKETCH counters by hash."""
+    """Counts of all shingles of a one-column text table, in SKETCH counters by hash, as STEPS * log2."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            np.add.at(total, (np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), np.int32(1))
+            held.clear()
+
         for batch in batches:
             for _, value, _ in _shingles(batch, 0):
-                total += np.bincount((value & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield _blocks(total)
+                held.append(value)
+                if len(held) > 16:
+                    add()
+        if held:
+            add()
+            yield _blocks(total)
 
-    total = _summed(texts.mapInArrow(count, "block int, x binary"), SKETCH, np.int64, np.add)
-    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+    def add_up(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x.astype(np.int64) + y, np.iinfo(np.int32).max).astype(np.int32)
 
+    return _levels(_summed(texts.mapInArrow(count, "block int, x binary"), SKETCH, np.int32, add_up))
 
-def _names(cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return X.mix(cls.view(np.uint64) + X.mix(doc_id.view(np.uint64)))
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return np.round(STEPS * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
 def _long(column: pa.Array) -> np.ndarray:
@@ -117,14 +148,12 @@ def _inside(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def wanted_filter(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter, in FILTER bytes, of (cls, doc_id) rows or of shingles."""
+    """A Bloom filter, in FILTER bytes, of the doc_ids of a one-column table (null: -1)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER, np.uint8)
         for batch in batches:
-            first = _long(batch.column(0))
-            names = _names(first, _long(batch.column(1))) if batch.num_columns > 1 else X.mix(first.view(np.uint64))
-            at = _places(names).reshape(-1)
+            at = _places(X.mix(_long(batch.column(0)).view(np.uint64))).reshape(-1)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield _blocks(bits)
 
@@ -135,9 +164,21 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def by_frequency(values: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Sort keys of the first order; ``values`` stand in hash order, which breaks ties."""
-    return (sketch[values & np.uint64(len(sketch) - 1)].astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(32))
+def needed(n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles the prefixes of two linked sets of these sizes share at least.
+
+    With a prefix of n - ceil(t n) + 1, ceil(t n) - 1 are left; linked sets share
+    t / (1 + t) of the sum of their sizes or more, of which the rest of one of
+    them holds no more than it has.
+    """
+    rest = (percent * np.maximum(n, other) + 99) // 100 - 1
+    return np.maximum((percent * (n + other) + 99 + percent) // (100 + percent) - rest, 1)
+
+
+def needed_sql(n: str, other: str, percent: int) -> str:
+    """``needed`` of two columns."""
+    rest = f"({percent} * greatest({n}, {other}) + 99) div 100 - 1"
+    return f"greatest(({percent} * ({n} + {other}) + {99 + percent}) div {100 + percent} - ({rest}), 1)"
 
 
 def by_hash(values: np.ndarray, k: int) -> np.ndarray:
@@ -145,9 +186,10 @@ def by_hash(values: np.ndarray, k: int) -> np.ndarray:
     return X.mix(values ^ np.uint64((k * 0xA0761D6478BD642F) & 0xFFFFFFFFFFFFFFFF))
 
 
-def _prefix(values: np.ndarray, keys: np.ndarray, percent: int) -> np.ndarray:
-    k = prefix_size(len(values), percent)
-    return values[np.argsort(keys, kind="stable")[:k]] if k < len(values) else values
+def _prefix(keys: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the shingles with these sort keys are the prefix; all of a tie at its end."""
+    k = prefix_size(len(keys), percent)
+    return keys <= np.partition(keys, k - 1)[k - 1] if k < len(keys) else np.ones(len(keys), bool)
 
 
 def _class_of(values: np.ndarray) -> int:
@@ -158,9 +200,10 @@ def _class_of(values: np.ndarray) -> int:
         return int(X.mix(np.array([x ^ X.mix(np.array([y], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def _lists(parts: list[np.ndarray], kind: type = np.uint64, shown: type = np.int64) -> pa.Array:
-    values = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(values.view(shown)))
+def _lists(parts: list[np.ndarray], gone: np.ndarray | None = None) -> pa.Array:
+    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)), mask=None if gone is None else pa.array(gone))
 
 
 def _doc_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -171,84 +214,70 @@ def _doc_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np
         yield i, sets, full, np.array([_class_of(sets[k]) for k in full], np.int64)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cls) of (doc_id, text); cls is null where there are no words."""
+def _prefixed(docs: DataFrame, sketch, percent: int) -> DataFrame:
+    """(doc_id, n, cls, p1, hot) of (doc_id, text); cls is null where there are no words.
+
+    p1 is the first order's prefix without its hottest shingles, and hot is these.  Within a task they
+    stand with one document of a class; its copies have nulls.
+    """
+
+    hottest = int(STEPS * np.log2(HOT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = sketch.value, set()
+        nothing = np.zeros(0, np.uint64)
         for batch in batches:
             for i, sets, full, cls in _doc_sets(batch):
                 names: list = [None] * len(sets)
+                first, hot = [nothing] * len(sets), [nothing] * len(sets)
+                new = np.zeros(len(sets), bool)
                 for k, c in zip(full, cls.tolist(), strict=True):
                     names[k] = c
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([len(v) for v in sets], pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n", "cls"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, cls long")
+                    if c in seen:
+                        continue
+                    seen.add(c)
+                    new[k] = True
+                    often = counts[sets[k] & np.uint64(SKETCH - 1)]
+                    inside = _prefix((often.astype(np.uint64) << np.uint64(32)) | (sets[k] >> np.uint64(32)), percent)
+                    first[k], hot[k] = sets[k][inside & (often < hottest)], sets[k][inside & (often >= hottest)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, len(sets)), pa.array([len(v) for v in sets], pa.int64()), pa.array(names, pa.int64()), _lists(first, gone=~new), _lists(hot, gone=~new)],
+                    names=["doc_id", "n", "cls", "p1", "hot"],
+                )
 
-
-def _prefixes(docs: DataFrame, sketch, wanted, tokens, percent: int) -> DataFrame:
-    """(cls, token) of the first order's prefixes of the wanted documents, and of ``tokens`` if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits, some = sketch.value, wanted.value, tokens.value if tokens else None
-        for batch in batches:
-            ids = _long(batch.column(0))
-            for i, sets, full, cls in _doc_sets(batch):
-                hit = _inside(bits, _names(cls, ids[i : i + len(sets)][full]))
-                parts = [_prefix(sets[k], by_frequency(sets[k], counts), percent) for k in full[hit]]
-                if not parts:
-                    continue
-                token, of = np.concatenate(parts), np.repeat(cls[hit], [len(p) for p in parts])
-                if some is not None:
-                    keep = _inside(some, X.mix(token))
-                    token, of = token[keep], of[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(token.view(np.int64))], names=["cls", "token"])
-
-    return docs.mapInArrow(run, "cls long, token long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, p1 array<long>, hot array<long>")
 
 
 def _sets(docs: DataFrame, wanted, percent: int) -> DataFrame:
-    """(cls, p2, p3, s) of the wanted (doc_id, text): two further prefixes, as hash keys, and the whole set.
-
-    The prefixes hold the upper halves of their sort keys: equal shingles have
-    equal ones, so a shared shingle is never missed.
-    """
+    """(cls, p2, p3, s) of the wanted (doc_id, text), and of some others: two further prefixes, as sort keys, and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            ids = _long(batch.column(0))
-            for i, sets, full, cls in _doc_sets(batch):
-                hit = _inside(bits, _names(cls, ids[i : i + len(sets)][full]))
-                rows = [sets[k] for k in full[hit]]
-                cols = [pa.array(cls[hit])]
+            some = _inside(bits, X.mix(_long(batch.column(0)).view(np.uint64)))
+            for _, sets, full, cls in _doc_sets(batch.filter(pa.array(some))):
+                rows = [sets[k] for k in full]
+                cols = [pa.array(cls)]
                 for k in (2, 3):
-                    keys = [np.sort(by_hash(v, k))[: prefix_size(len(v), percent)] >> np.uint64(32) for v in rows]
-                    cols.append(_lists(keys, np.uint32, np.int32))
+                    cols.append(_lists([np.sort(by_hash(v, k))[: prefix_size(len(v), percent)] for v in rows]))
                 yield pa.RecordBatch.from_arrays([*cols, _lists(rows)], names=["cls", "p2", "p3", "s"])
 
-    return docs.mapInArrow(run, "cls long, p2 array<int>, p3 array<int>, s array<long>")
-
+    return docs.mapInArrow(run, "cls long, p2 array<long>, p3 array<long>, s array<long>")
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix shingle under the other orders too, and link.
 
-    Sets are computed again for the first document of each class that a pair
-    names; a Bloom filter keeps the rest of the texts from travelling.
-    """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    members = classes.join(named, "cls").select("cls", "doc_id")
-    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(members))
-    sets = _sets(docs, wanted, percent)
-    sets = staged(sets.dropDuplicates(["cls"]) if repeated else sets)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, least) of classes whose prefixes share ``least`` under the other orders too, and that link."""
 
     def side(x: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
 
     near = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
-    near = staged(near.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b").distinct())
+    for k in (2, 3):
+        near = near.where(F.size(F.array_intersect(f"p{k}a", f"p{k}b")) >= F.col("least"))
+    near = near.select("a", "b")
     both = near.join(side("a", "s"), "a").join(side("b", "s"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def _forest(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,98 +294,88 @@ def _forest(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return cls[some], cls[root[some]]
 
 
-def _unit_links(unit: pa.RecordBatch, percent: int) -> np.ndarray:
-    """Which classes of one unit (group, a, b, side, cls, x, s) link, as an upper triangle; each pair in one unit only."""
-    a, b, side = (unit.column(k).to_numpy() for k in range(1, 4))
-    lists = unit.column(6)
+def _overlaps(lists: pa.ListArray) -> np.ndarray:
+    """How many values each two of the lists share, above the diagonal; the values of a list are distinct."""
     n = np.diff(lists.offsets.to_numpy())
-    token, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1], np.repeat(np.arange(len(n)), n)
-    often = np.bincount(token) > 1
-    column = np.cumsum(often) - 1
-    keep = often[token]
-    token, of = column[token[keep]], of[keep]
+    rows = len(n)
+    token, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1], np.repeat(np.arange(rows), n)
     order = np.argsort(token, kind="stable")
     token, of = token[order], of[order]
-    shared = np.zeros((len(n), len(n)), np.float32)
-    for k in range(0, int(often.sum()), COLUMNS):
-        i, j = np.searchsorted(token, [k, k + COLUMNS])
-        held = np.zeros((len(n), COLUMNS), np.float32)
-        held[of[i:j], token[i:j] - k] = 1
+    often = np.bincount(token)[token]
+    shared = np.zeros((rows, rows), np.float32)
+    # values that many lists hold: products of 0/1 columns
+    many = often > max(8, rows // 8)
+    column, at = np.unique(token[many], return_inverse=True)[1], of[many]
+    for k in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [k, k + COLUMNS])
+        held = np.zeros((rows, COLUMNS), np.float32)
+        held[at[i:j], column[i:j] - k] = 1
         shared += held @ held.T
-    size = n.astype(np.float32)
-    hit = np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1)
+    # the others: one count for each two lists that hold a value
+    few = ~many & (often > 1)
+    token, of = token[few], of[few]
+    if len(token):
+        last = np.searchsorted(token, token, side="right")
+        left = last - np.arange(len(token)) - 1
+        flat, done = shared.reshape(-1), np.cumsum(left)
+        i = 0
+        while i < len(token):
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS)))
+            np.add.at(flat, np.repeat(of[i:j] * rows, left[i:j]) + of[X.ragged(np.arange(i, j) + 1, left[i:j])], np.float32(1))
+            i = j
+    return np.triu(shared, 1)
+
+
+def _unit_links(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the classes of one unit (group, a, b, side, cls, m, p2, p3, s) that link; each pair in one unit only.
+
+    A pair has to pass the size filter and share enough of the second and of the third prefixes before its sets count.
+    """
+    a, b, side = (unit.column(k).to_numpy() for k in range(1, 4))
+    sets = unit.column(8)
+    size = np.diff(sets.offsets.to_numpy()).astype(np.int32)
+    one, two = size[:, None], size[None, :]
+    near = 100 * np.minimum(one, two) >= percent * np.maximum(one, two)
     if a[0] != b[0]:
-        hit &= side[:, None] != side[None, :]
-    return hit
-
-
-def _compare_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between the classes of one unit (group, a, b, side, cls, root, s)."""
-    cls, root = unit.column(4).to_numpy(), unit.column(5).to_numpy()
-    return _forest(cls, *np.nonzero(_unit_links(unit, percent) & (root[:, None] != root[None, :])))
-
+        near &= side[:, None] != side[None, :]
+    least = needed(one, two, percent)
+    for k in (6, 7):
+        near &= _overlaps(unit.column(k)) >= least
+        if not near.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shared = _overlaps(sets)
+    return np.nonzero(near & (100 * shared >= percent * ((one + two) - shared)))
 
-def _count_unit(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that each class of one unit (group, a, b, side, cls, m, s) links with in it; m is the documents of a class."""
-    cls, m = unit.column(4).to_numpy(), unit.column(5).to_numpy()
-    i, j = np.nonzero(_unit_links(unit, percent))
-    add = np.zeros(len(cls), np.int64)
-    np.add.at(add, i, m[j])
-    np.add.at(add, j, m[i])
-    some = np.flatnonzero(add)
-    return cls[some], add[some]
 
+def _in_groups(group: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What the units of (cls, group) find: rows (a, b, null), links that span what is linked, and (a, null, add).
 
-def _by_units(member: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, compare, schema: str) -> DataFrame:
-    """What ``compare`` makes of each unit of (cls, x, group): two of its columns by ``schema``.
-
-    A group's classes are dealt to blocks by hash, and each pair of blocks is a
-    unit whose sets are all compared in one task, so no task holds a group.
+    add is the number of documents of other classes that class a links with in one unit.  A group's
+    classes are dealt to blocks by hash, and each pair of blocks is a unit, so no task holds a group.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(classes.join(member.select("cls"), "cls").select("cls", "doc_id")))
-    sets = _sets(docs, wanted, percent).select("cls", "s")
-    sets = staged(sets.dropDuplicates(["cls"]))
+    member = group.join(classes.select("cls", "n", "m"), "cls")
     fill = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
-    blocks = member.join(classes.select("cls", "n"), "cls").groupBy("group").agg(F.ceil(fill).cast("int").alias("blocks"))
+    blocks = member.groupBy("group").agg(F.ceil(fill).cast("int").alias("blocks"))
     unit = member.join(blocks, "group").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = unit.select("cls", "x", "group", F.least("k", "o").alias("ka"), F.greatest("k", "o").alias("kb"), (F.col("k") > F.col("o")).cast("int").alias("side"))
-    full = unit.join(sets, "cls").select("group", F.col("ka").alias("a"), F.col("kb").alias("b"), "side", "cls", "x", "s")
+    unit = unit.select("cls", "m", "group", F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b"), (F.col("k") > F.col("o")).cast("int").alias("side"))
+    full = unit.join(sets, "cls").select("group", "a", "b", "side", "cls", "m", "p2", "p3", "s")
     dealt = full.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "cls")
-    names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, 3):
-            if unit.num_rows > 1:
-                a, b = compare(unit, percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names)
-
-    return dealt.mapInArrow(run, schema)
-
-
-def _across(rest: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components, of the rows (token, cls, root) of shingles that hold several.
+            if unit.num_rows < 2:
+                continue
+            cls, m = unit.column(4).to_numpy(), unit.column(5).to_numpy()
+            i, j = _unit_links(unit, percent)
+            if not len(i):
+                continue
+            add = np.bincount(i, weights=m[j], minlength=len(cls)) + np.bincount(j, weights=m[i], minlength=len(cls))
+            some = np.flatnonzero(add)
+            a, b = _forest(cls, i, j)
+            rows = [pa.array(np.concatenate([a, cls[some]])), pa.array([*b.tolist(), *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *add[some].astype(np.int64).tolist()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "add"])
 
-    Classes that shingles hold together, directly or in steps, form a group
-    that is compared by units.  So every pair that shares a shingle is compared
-    and no pair is a row.
-    """
-    schema = "a long, b long"
-    hub = rest.groupBy("token").agg(F.min("cls").alias("lo"))
-    group = components(rest.join(hub, "token").select(F.col("cls").alias("a"), F.col("lo").alias("b")))
-    member = rest.select("cls", "root").distinct().join(group.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
-    if member.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    return _by_units(member.withColumnRenamed("root", "x"), docs, classes, percent, _compare_unit, schema).distinct()
-
-
-def link_counts(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(cls, n_links): how many documents of other classes link with each class, of the classes by ``jaccard_classes``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    several = classes.groupBy("root").count().where("count > 1").select("root")
-    member = staged(classes.join(several, "root").select("cls", F.col("m").alias("x"), F.col("root").alias("group")))
-    counts = _by_units(member, docs, classes, percent, _count_unit, "cls long, add long")
-    return counts.groupBy("cls").agg(F.sum("add").alias("n_links"))
+    return dealt.mapInArrow(run, "a long, b long, add long")
 
 
 def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -381,60 +400,60 @@ def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBat
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Join (doc_id, text) with itself on shingle similarity.
 
-    Returns a row per document (doc_id, n, cls), a row per class (cls, n,
-    m, doc_id, root, component_id), and verified pairs of classes (a, b).  A class
-    is a shingle set, m its documents, doc_id their smallest, and component_id the smallest that
-    links reach.  Documents without words have a null cls.  The pairs connect
-    each component, and hold every link between components of the hub links;
-    ``link_counts`` counts all links.
-    Null and repeated doc_ids are kept as they are; a null one is never a
-    smallest.
+    Returns a row per document (doc_id, n, cls), a row per class (cls, n, m, doc_id, root, component_id, n_links),
+    and verified pairs of classes (a, b).  A class is a shingle set, m its documents, doc_id their smallest,
+    component_id the smallest that links reach, and n_links the number of other documents that each of its documents
+    links with, equal sets included.  Documents without words have a null cls.  The pairs connect each component;
+    they are all links but those inside groups, which are counted where they are found.
+    Null and repeated doc_ids are kept as they are; a null one is never a smallest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    share = docs.sparkSession.sparkContext.broadcast
-    table = staged(_classes(docs))
-    classes = staged(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("m")))
-    repeated = not table.where("cls IS NOT NULL").groupBy("cls", "doc_id").count().where("count > 1").isEmpty()
-
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    share = spark.sparkContext.broadcast
     sketch = share(frequency_sketch(docs.select("text")))
-    reps = share(wanted_filter(classes.select("cls", "doc_id")))
-    rows = _prefixes(docs, sketch, reps, None, percent)
-    often = staged(rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"))
-    tokens = share(wanted_filter(often.select("token")))
-    shared = _prefixes(docs, sketch, reps, tokens, percent).join(often, "token").select("token", "cls", "lo", "hi")
-    shared = staged(shared.distinct() if repeated else shared)
-
-    sized = lambda x, n: classes.select(F.col("cls").alias(x), F.col("n").alias(n))
-    fits = lambda df: df.join(sized("a", "na"), "a").join(sized("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-    near = shared.select(F.col("cls").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    first = staged(fits(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    links = staged(_verified(first, docs, classes, repeated, percent))
+    rows = scratch.staged(_prefixed(docs, sketch, percent))
+    table = staged(rows.select("doc_id", "n", "cls"))
+    numbers = [F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("m")]
+    classes = scratch.staged(rows.where("cls IS NOT NULL").groupBy("cls").agg(*numbers, F.first("p1", True).alias("p1"), F.first("hot", True).alias("hot")))
+
+    counted = classes.select("cls", "n", F.explode("p1").alias("token")).withColumn("l", F.count("*").over(Window.partitionBy("token")))
+    shared = scratch.staged(counted.where("l > 1"))
+    heavy = shared.where(F.col("l") > HEAVY).select("token", "cls").unionByName(classes.select(F.explode("hot").alias("token"), "cls"))
+    hub = heavy.groupBy("token").agg(F.min("cls").alias("hub"))
+    steps = scratch.staged(heavy.join(hub, "token").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    group = components(steps).select(F.col("node").alias("cls"), F.col("root").alias("group"))
+
+    light = shared.where(F.col("l") <= HEAVY).join(group, "cls", "left").select("token", "cls", "n", "group")
+    one, two = (light.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "group")]) for x in "ab")
+    fits = f"cls_a < cls_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND coalesce(group_a <> group_b, true)"
+    # two classes of different groups share no long list, so the short ones count all that their prefixes share
+    least = F.expr(needed_sql("n_a", "n_b", percent)).alias("least")
+    pairs = one.join(two, "token").where(fits).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), least).count()
+    pairs = scratch.staged(pairs.where("count >= least").select("a", "b", "least"))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(group.select("cls")).distinct()
+    wanted = share(wanted_filter(classes.join(named, "cls").select("doc_id")))
+    sets = scratch.staged(_sets(docs, wanted, percent).dropDuplicates(["cls"]))
+    alone = _verified(pairs, sets, percent).select("a", "b", F.lit(None).cast("long").alias("add"), F.lit(True).alias("whole"))
+    found = staged(alone.unionByName(_in_groups(group, classes, sets, percent).withColumn("whole", F.lit(False))))
+    links = found.where("b IS NOT NULL").select("a", "b").distinct()
     roots = components(links)
 
-    named = shared.select("token", "cls").join(roots, shared["cls"] == roots["node"], "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
-    split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = staged(named.join(split, "token"))
-    more = staged(_across(rest, docs, classes, percent))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    return table, _rooted(classes, roots), links
-
-
-def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "n", "m", "doc_id", F.coalesce("root", "cls").alias("root"))
-    return staged(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"))
+    size = classes.select(F.col("cls").alias("b"), F.col("m").alias("add"))
+    ends = found.where("whole").select("a", "b").unionByName(found.where("whole").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    add = ends.join(size, "b").select("a", "add").unionByName(found.where("add IS NOT NULL").select("a", "add")).groupBy("a").agg(F.sum("add").alias("add"))
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").join(add, classes["cls"] == add["a"], "left")
+    named = named.select("cls", "n", "m", "doc_id", F.coalesce("root", "cls").alias("root"), (F.col("m") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = staged(named.join(least, "root").select("cls", "n", "m", "doc_id", "root", "component_id", "n_links"))
+    scratch.clear()
+    return table, out, links
 
 
 def with_components(table: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; one without words is its own."""
-    own = classes.select("cls", "component_id")
-    return table.join(own, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def with_links(table: DataFrame, classes: DataFrame, counts: DataFrame) -> DataFrame:
-    """``with_components`` and n_links: the other documents that a document links with, its copies included."""
-    own = classes.join(counts, "cls", "left").select("cls", "component_id", (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    """(doc_id, n_shingles, component_id, n_links) of every document; one without words is its own, with no links."""
+    own = classes.select("cls", "component_id", "n_links")
     return table.join(own, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
@@ -446,10 +465,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join of ``op5_jaccard_join`` with the number of each document's links."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    table, classes, _ = jaccard_classes(docs)
-    return with_links(table, classes, link_counts(docs, classes))
+    """The documents that link with others, and with how many."""
+    return op5_jaccard_join(spark, sf_dir).where("n_links > 0").select("doc_id", "component_id", "n_links")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -511,24 +528,6 @@ WITH RECURSIVE w AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
 ), l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)
-), r(node, root) AS (
-  SELECT doc_id, doc_id FROM documents
-  UNION
-  SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b
-)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
-"""
-
-LINKS_SQL = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
-), l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)
 ), k AS (SELECT a AS doc_id, count(*) AS k FROM l GROUP BY a
 ), r(node, root) AS (
   SELECT doc_id, doc_id FROM documents
@@ -538,3 +537,5 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id, coalesce(any_value(k.k), 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
+
+LINKS_SQL = f"SELECT doc_id, component_id, n_links FROM ({OP5_SQL}) WHERE n_links > 0"

@@ -125,13 +125,14 @@ def test_jaccard(spark, make_docs, odd_docs, seed):
     assert links.count() == links.distinct().count()
 
 
-@pytest.mark.parametrize("block_rows", [256, 3])
-def test_jaccard_links(spark, make_docs, odd_docs, monkeypatch, block_rows):
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+@pytest.mark.parametrize(("block_rows", "heavy", "hot"), [(256, 64, 1 << 20), (256, 2, 1 << 20), (3, 3, 1 << 20), (4, 64, 3), (5, 4, 1)])
+def test_jaccard_links(spark, make_docs, odd_docs, monkeypatch, block_rows, heavy, hot):
+    for name, value in (("BLOCK_ROWS", block_rows), ("HEAVY", heavy), ("HOT", hot), ("PAIRS", 7 if heavy < 64 else 1 << 22)):
+        monkeypatch.setattr(jaccard, name, value)
     docs = make_docs([(d, t, "s") for d, t in near_copies(5, 4, 12)]).unionByName(odd_docs)
     all_rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     table, classes, _ = jaccard.jaccard_classes(docs)
-    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in jaccard.with_links(table, classes, jaccard.link_counts(docs, classes)).collect())
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"]), r["n_links"]) for r in jaccard.with_components(table, classes).collect())
     sets = [shingles(t) for _, t in all_rows]
     linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
     want = [sum(bool(linked(x, y)) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
