@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -278,10 +281,70 @@ def test_gru_probabilities_sum_to_one():
     v = gru.Vocabulary.build(np.arange(1, 9001, dtype=np.uint64), np.arange(9000, 0, -1), 9000 * 9001 // 2, 9000)
     p = gru.start_params(v)
     h = np.random.default_rng(0).standard_normal((1, gru.WIDTH)).astype(np.float32)
-    short = np.exp(gru.output(p, np.repeat(h, gru.SHORT + 1, 0), np.arange(gru.SHORT + 1)))
-    tail = [c for i, c in zip(v.ids, v.counts, strict=True) if i == gru.SHORT]
-    shares = (sum(c + 0.1 for c in tail) + 0.1) / v.tail_norm
-    assert abs(short.sum() - 1) < 1e-4 and abs(shares - 1) < 1e-9
+    ids = np.arange(gru.SHORT + gru.BANDS)
+    share = np.exp(gru.output(p, np.repeat(h, len(ids), 0), ids))
+    assert abs(share.sum() - 1) < 1e-4
+    for band in range(gru.BANDS):
+        own = v.counts[v.ids == gru.SHORT + band]
+        unknown = band == gru.BANDS - 1
+        assert math.isclose(sum(own + 0.1) + 0.1 * unknown, v.band_norms[band], abs_tol=1e-9)
+    found, counts = v.find(np.arange(0, 9010, dtype=np.uint64))
+    assert counts[1:9001].tolist() == list(range(9000, 0, -1)) and (counts[[0, 9001, 9009]] == -1).all()
+    assert found[1 : gru.SHORT].tolist() == list(range(gru.SHORT - 1)) and (found[[0, 9001]] == gru.SHORT + gru.BANDS - 1).all()
+
+
+def test_gru_score_step_by_step(spark, make_docs, monkeypatch):
+    """The score of every document against one that is computed word by word in double precision."""
+    r = random.Random(6)
+    train = make_docs([(k, " ".join(f"w{int(r.paretovariate(0.7)) % 6000}" for _ in range(r.randint(0, 700))), "s") for k in range(60)])
+    probe = make_docs([(1, "w1 W2 w3 w1 w5999", "s"), (2, None, "s"), (3, "never seen words w4", "s"), (4, " ".join(f"w{k % 50}" for k in range(400)), "s")])
+    kept = {}
+    monkeypatch.setattr(gru, "trained", lambda docs, v, real=gru.trained: kept.setdefault("p", kept.setdefault("v", v) and real(docs, v)))
+    got = {x["doc_id"]: x["score"] for x in gru.score_documents(probe, train).collect()}
+    p, v = {k: x.astype(np.float64) for k, x in kept["p"].items()}, kept["v"]
+    count = Counter(w for x in train.collect() for w in [*WORD.findall(lower(x["text"])), None])
+    hashes = lambda words: [int(h) for h in gru.X.span_hashes(*gru.X.flat(pa.array([" ".join(words)]))[:1], *gru.X.word_spans(*gru.X.flat(pa.array([" ".join(words)])))[:2], True)] if words else []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    size = gru.WIDTH
+    for x in probe.collect():
+        words = WORD.findall(lower(x["text"]))
+        h, last, total = np.zeros(size), gru.BOS, 0.0
+        for word, name in zip([*words, None], [*hashes(words), int(gru.END)], strict=True):
+            a, g = p["emb"][last] @ p["w"] + p["b"], h @ p["u"]
+            z, q = sigmoid(a[:size] + g[:size]), sigmoid(a[size : 2 * size] + g[size : 2 * size])
+            h = z * h + (1 - z) * np.tanh(a[2 * size :] + q * g[2 * size :])
+            last = int(v.find(np.array([name], np.uint64))[0][0])
+            logits = h @ p["cw"] + p["cb"]
+            cls = last // gru.CLASS if last < gru.SHORT else last - gru.SHORT + gru.CLASSES
+            total += logits[cls] - np.log(np.exp(logits).sum())
+            if last < gru.SHORT:
+                inner = p["ww"][cls * gru.CLASS : (cls + 1) * gru.CLASS] @ h + p["wb"][cls * gru.CLASS : (cls + 1) * gru.CLASS]
+                total += inner[last % gru.CLASS] - np.log(np.exp(inner).sum())
+            else:
+                total += np.log((count[word] + 0.1) / v.band_norms[last - gru.SHORT])
+        assert math.isclose(got[x["doc_id"]], total / math.log(10), rel_tol=2e-4)
+
+
+LONG_TEXT = """
+import resource
+import numpy as np
+from tessera.llm import gru
+v = gru.Vocabulary.build(np.arange(1, 9001, dtype=np.uint64), np.arange(9000, 0, -1), 9000 * 9001 // 2, 9000)
+lengths = np.array([1_000_000, *[20] * 300])
+ids = np.random.default_rng(4).integers(0, gru.SHORT + gru.BANDS, lengths.sum())
+offsets = np.concatenate([[0], np.cumsum(lengths)])
+trainer = gru.Trainer(gru.start_params(v))
+trainer.train(ids, offsets)
+assert all(np.isfinite(x).all() for x in trainer.p.values())
+assert np.isfinite(gru.log_probs(trainer.p, ids, offsets)).all()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+
+
+def test_gru_long_text_among_short_ones():
+    """A text of a million words next to 300 short ones takes less than a GB."""
+    done = subprocess.run([sys.executable, "-c", LONG_TEXT], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) < 1_000_000
 
 
 def test_gru_gradient():
