@@ -9,24 +9,24 @@ shard as a whole.  A reader fetches the table from the end of the file and
 decompresses only the frames it is asked for.
 
 Texts are encoded where they are read and travel as compressed frames: cut
-points of doc_id (quantiles over all rows) name each row's shard, and a shard is
+points of doc_id (quantiles over all rows; a doc_id of very many rows has shards
+of its own, by checksum) name each row's shard, and a shard is
 written by one task to a name of its own attempt and moved into place, so a
 repeated task leaves one file.
 """
 
 from __future__ import annotations
 
-import gc
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm import textops as X
 from tessera.llm.common import documents, shared_dir, staged
 
 END_ID = 2
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Encoded words that a worker keeps between batches, and words encoded per call; only memory depends on them.
-CACHED_WORDS, WORDS_PER_CALL = 800_000, 20_000
-#: Rows of a shard, about; and bytes of frames that an Arrow batch of the writer may hold.
+#: Encoded pieces that a worker keeps between slices and places for them, pieces encoded per call, plain words joined to
+#: one text, and bytes of text handled at once; only memory and time depend on them.
+CACHED_WORDS, TABLE, WORDS_PER_CALL, JOINED, SLICE_BYTES = 800_000, 1 << 21, 20_000, 200, 2_000_000
+#: Rows of a shard, about.
 SHARD_ROWS = 16_384
 
 
@@ -50,55 +52,59 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: White space before a space.
-_WIDE = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
+_INK = np.ones(256, bool)
+_INK[[*range(9, 14), *range(0x1C, 0x21)]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[ord(c) for c in ".,!?;:"]] = True
+#: First bytes of the characters among which the wide white space is.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _dense_ends(data: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each byte is surely no white space."""
+    out = _INK[data]
+    high = np.flatnonzero(data >= 0x80)
+    lead = high.copy()
+    for _ in range(3):
+        lead -= (data[lead] & 0xC0) == 0x80
+    out[high] = ~_WIDE[data[lead]]
+    return out
 
 
-def spaced_words(text: str) -> list[str]:
-    """Cuts before each space that follows a character that is no white space.
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where flat texts are cut: the texts' starts, and inside them only where the tokenizer's pattern always cuts.
 
-    The tokenizer's own pattern always cuts there, and what it does on either
-    side does not depend on the other, so the parts encode by themselves.
+    That is before a space after a character that is no white space, around a
+    line break between two such, and between a letter and a closing mark; what
+    the pattern does on one side does not depend on the other.
     """
-    parts = text.split(" ")
-    if not any(w in text for w in _WIDE):
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    out, open_ = [], parts[0]
-    for p in parts[1:]:
-        if open_ and not open_[-1].isspace():
-            out.append(open_)
-            open_ = " " + p
-        else:
-            open_ += " " + p
-    out.append(open_)
-    return out
-
-
-_CLOSING = ".,!?;:"
-
-
-def parts_of(word: str) -> list[str]:
-    """Further cuts that the pattern always makes: at a lone line break, and before closing marks after letters."""
-    if "\n" not in word:
-        stem = word.rstrip(_CLOSING)
-        return [stem, word[len(stem) :]] if len(stem) < len(word) and stem.removeprefix(" ").isalpha() else [word]
-    lines = word.split("\n")
-    if len(lines) > 1 and not all(x and not x[-1].isspace() and (k == 0 or not x[0].isspace()) for k, x in enumerate(lines)):
-        return [word]
-    out: list[str] = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append("\n")
-        stem = line.rstrip(_CLOSING)
-        if len(stem) < len(line) and stem.removeprefix(" ").isalpha():
-            out += [stem, line[len(stem) :]]
-        else:
-            out.append(line)
-    return out
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        dense = _dense_ends(data)
+        after = np.zeros(len(data), bool)  # a dense character stands before
+        after[1:] = dense[:-1]
+        starts = offsets[:-1][offsets[:-1] < len(data)]
+        after[starts] = False
+        cut[:-1] = after & (data == 0x20)
+        line = np.flatnonzero(after & (data == 0x0A))
+        line = line[line + 1 < len(data)]
+        line = line[_INK[data[line + 1]] & ~_WIDE[data[line + 1]]]
+        line = line[~np.isin(line + 1, offsets)]
+        cut[line] = cut[line + 1] = True
+        letter = _LETTER[data]
+        accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)) + 1
+        letter[accent] = True
+        mark = np.flatnonzero(_CLOSING[data[1:]] & letter[:-1]) + 1
+        cut[mark[~np.isin(mark, offsets)]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, distinct words once."""
+    """Ids of whole texts by the tokenizers library, distinct pieces once; pieces are known by 64-bit hashes."""
 
     def __init__(self, path: str):
         import os
@@ -107,40 +113,111 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        #: Added tokens are found in whole texts, before words; the longest first where one begins another.
-        self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.whole, key=len, reverse=True))) + ")") if self.whole else None
-        self.cache: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """``spaced_words`` between the added tokens, which stay whole."""
-        if self.added is None or not self.added.search(text):
-            return spaced_words(text)
-        return [w for k, x in enumerate(self.added.split(text)) for w in ([x] if k % 2 else spaced_words(x))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
-        if len(cache) + len(self.parts) + len(new) > CACHED_WORDS:
-            cache.clear()
-            self.parts.clear()
-            cache[""] = b""
-            new = list({w for ws in split for w in ws if w})
-        cut = [[w] if w in self.whole else parts_of(w) for w in new]
-        known = self.parts
-        fresh = list({p for ps in cut for p in ps if p not in known})
-        for i in range(0, len(fresh), WORDS_PER_CALL):
-            some = fresh[i : i + WORDS_PER_CALL]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            ends = np.cumsum([len(c) for c in coded]) * 4
-            raw = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
-            known.update(zip(some, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-        for w, ps in zip(new, cut, strict=True):
-            cache[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+        #: Added tokens are found in whole texts, before the pattern cuts them.
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each id: a character of its name stands for one.
+        self.width = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.width[list(names.values())] = [len(n) for n in names]
+        self.clear()
+
+    def clear(self, pieces: int = 0) -> None:
+        """Forgets all, and takes places enough for so many pieces at once."""
+        size = max(TABLE, 1 << (2 * pieces).bit_length())
+        self.table, self.slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if it is new."""
+        at = (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+        found = self.slot[at]
+        left = np.flatnonzero((found >= 0) & (self.table[at] != hashes))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.table) - 1)
+            found[left] = self.slot[at]
+            off = (self.slot[at] >= 0) & (self.table[at] != hashes[left])
+            left, at = left[off], at[off]
+        return found
+
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes = self.encoded(words)
+        number = np.arange(len(hashes)) + len(self.ends) - 1
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        left, at = np.arange(len(hashes)), (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]], self.table[at[free]] = number[left[free]], hashes[left[free]]
+            lost = self.slot[at] != number[left]
+            # of two that took one place, the last one has it
+            self.table[at[~lost]] = hashes[left[~lost]]
+            left, at = left[lost], (at[lost] + 1) & (len(self.table) - 1)
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has.
+
+        Plain words that begin with a space are encoded many in one text, where
+        the pattern cuts them apart; the ids' widths tell whose they are.
+        """
+        plain = np.array([w[:1] == b" " and w[1:].isalnum() for w in words], bool)
+        sizes, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)] * len(words)
+        joined = np.flatnonzero(plain)
+        rest = np.flatnonzero(~plain).tolist()
+        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        for i in range(0, len(groups), WORDS_PER_CALL // JOINED):
+            some = groups[i : i + WORDS_PER_CALL // JOINED]
+            texts = [b"".join([words[k] for k in g]).decode() for g in some]
+            for g, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                bounds = np.cumsum([len(words[k]) for k in g])
+                to = np.searchsorted(np.cumsum(self.width[ids]), bounds) + 1
+                if len(ids) != to[-1] or (np.cumsum(self.width[ids])[to - 1] != bounds).any():
+                    rest += g.tolist()
+                    continue
+                sizes[g] = np.diff(to, prepend=0)
+                for k, x in zip(g.tolist(), np.split(ids, to[:-1]), strict=True):
+                    parts[k] = x
+        for i in range(0, len(rest), WORDS_PER_CALL):
+            some = rest[i : i + WORDS_PER_CALL]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False), strict=True):
+                parts[k] = np.array(e.ids, np.uint32)
+                sizes[k] = len(e.ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), sizes
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of flat texts without added tokens, and their offsets."""
+        cuts = pieces_of(data, offsets)
+        starts, ends = cuts[:-1], cuts[1:]
+        hashes = X.span_hashes(data, starts, ends, False)
+        found = self.find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            if len(self.ends) + len(fresh) > CACHED_WORDS:
+                fresh, at = np.unique(hashes, return_index=True)
+                self.clear(len(fresh))
+                new = np.arange(len(hashes))
+            raw, places = data.tobytes(), new[at]
+            self.add(fresh, [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
+            found = self.find(hashes)
+        sizes = self.ends[found + 1] - self.ends[found]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[X.ragged(self.ends[found], sizes)], total[np.searchsorted(cuts, offsets)]
+
+    def encode(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, by slices; nulls are empty texts."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = np.zeros(len(texts), bool)
+        for name in self.added:
+            odd |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        data, offsets = X.flat(texts)
+        for i, j in X.slices(offsets, SLICE_BYTES):
+            ids, offs = self.encode_flat(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            out = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            for k in np.flatnonzero(odd[i:j]):
+                out[k] = np.array(self.tokenizer.encode(texts[i + int(k)].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            yield out
 
 
 @lru_cache(maxsize=2)
@@ -148,29 +225,63 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def frames_of(docs: DataFrame, path: str, end_id: int = END_ID, group_chars: int = 2_000_000) -> DataFrame:
-    """(doc_id, frame, size, check) of (doc_id, text): each document's ids as a compressed frame."""
+@dataclass
+class Cuts:
+    """Where shards begin: ranges of doc_id, null first, and how many shards a range has.
+
+    A doc_id (or null) with more rows than a shard takes is a range of its own,
+    whose rows go to its shards by the order of their checksums.
+    """
+
+    after: np.ndarray
+    shards: np.ndarray
+
+    def of(self, doc_id: pa.Array, check: np.ndarray) -> np.ndarray:
+        ids = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(self.after, ids, side="left"))
+        return np.concatenate([[0], np.cumsum(self.shards)])[part] + (check * self.shards[part] >> 32)
+
+    @property
+    def total(self) -> int:
+        return int(self.shards.sum())
+
+
+def shard_cuts(docs: DataFrame, shard_rows: int) -> Cuts:
+    rows = docs.count()
+    want = max(1, -(-rows // shard_rows), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 256)))
+    often = {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().where(F.col("count") > shard_rows).collect()}
+    after = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [k / want for k in range(1, want)] or [0.5], 100_000).alias("q")).first()["q"] or []
+    after = set(after if want > 1 else [])
+    for x in often:
+        if x is not None:
+            after |= {x - 1, x}
+    cuts = np.array(sorted(after), np.int64)
+    shards = np.ones(len(cuts) + 2, np.int64)
+    for x, n in often.items():
+        shards[0 if x is None else 1 + int(np.searchsorted(cuts, x))] = -(-n // shard_rows)
+    return Cuts(cuts, shards)
+
+
+def frames_of(docs: DataFrame, path: str, end_id: int = END_ID, cuts: Cuts | None = None) -> DataFrame:
+    """(doc_id, frame, size, check, shard) of (doc_id, text): each document's ids as a compressed frame."""
+    cuts = docs.sparkSession.sparkContext.broadcast(cuts or Cuts(np.zeros(0, np.int64), np.ones(2, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
-        gc.disable()  # millions of strings and no cycles: scanning them costs a sixth of the time
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             i = 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= group_chars):
-                    n += len(texts[j])
-                    j += 1
-                raw = [b + tail for b in enc.encode(texts[i:j])]
+            for coded in enc.encode(batch.column(1)):
+                raw = [b + tail for b in coded]
+                check = np.array([xxhash.xxh64_intdigest(b) & 0xFFFFFFFF for b in raw], np.int64)
+                doc_id = batch.column(0).slice(i, len(raw))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([press.compress(b) for b in raw], pa.binary()), pa.array([len(b) for b in raw], pa.int64()), pa.array([xxhash.xxh64_intdigest(b) & 0xFFFFFFFF for b in raw], pa.int64())],
-                    names=["doc_id", "frame", "size", "check"],
+                    [doc_id, pa.array([press.compress(b) for b in raw], pa.binary()), pa.array([len(b) for b in raw], pa.int64()), pa.array(check), pa.array(cuts.value.of(doc_id, check).astype(np.int32))],
+                    names=["doc_id", "frame", "size", "check", "shard"],
                 )
-                i = j
+                i += len(raw)
 
-    return docs.mapInArrow(run, "doc_id long, frame binary, size long, check long")
+    return docs.mapInArrow(run, "doc_id long, frame binary, size long, check long, shard int")
 
 
 class ShardWriter:
@@ -232,19 +343,13 @@ def write_token_files(docs: DataFrame, root: str, path: str | None = None, end_i
     """Encodes (doc_id, text) into shards under ``root``; returns (shard, name, docs, ids), a row per shard.
 
     Shards and the documents in them ascend by doc_id, null first; rows of one
-    doc_id stay in one shard, by checksum and size.  Null texts are empty and
+    doc_id by checksum and size.  Null texts are empty and
     give the end id alone.  An empty table gives no shards.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.count()
-    want = max(1, -(-rows // shard_rows), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 256)))
-    cuts = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [k / want for k in range(1, want)] or [0.5], 100_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))[: want - 1] if want > 1 else []
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    # shard: how many cut points are less than the id
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))) if cuts else F.lit(0)
-    frames = frames_of(docs, path or vocabulary_path(), end_id).withColumn("shard", shard.cast("int"))
-    parted = frames.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "check", "size", "frame")
+    cuts = shard_cuts(docs, shard_rows)
+    frames = frames_of(docs, path or vocabulary_path(), end_id, cuts)
+    parted = frames.repartitionById(cuts.total, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "check", "size", "frame")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, writer, now = [], None, None

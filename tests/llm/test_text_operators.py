@@ -197,12 +197,12 @@ def test_pieces_of_hard_strings():
     assert [np.frombuffer(b, "<u4").tolist() for b in m.encode_batch(some)] == sp.encode(some)
 
 
-def test_token_files(spark, sf, odd_docs, no_docs):
+def test_token_files(spark, sf, odd_docs, no_docs, make_docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenfiles.vocabulary_path())
-    t.encode_special_tokens = True
-    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd_docs)
+    many = [(None, f"null {k % 90} <|endoftext|> x", "s") for k in range(150)] + [(70, f"seventy {k}", "s") for k in range(130)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd_docs).unionByName(make_docs(many))
     root = shared_dir(spark)
     shards = tokenfiles.write_token_files(docs, root, shard_rows=40)
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), (t.encode(r["text"] or "", add_special_tokens=False).ids + [2])) for r in docs.collect())
@@ -214,6 +214,7 @@ def test_token_files(spark, sf, odd_docs, no_docs):
         assert r["start"] == start and r["n_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(r["ids"])
         start += len(ids)
     assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == sorted(i for _, i in rows)
+    assert max(r["docs"] for r in shards.collect()) <= 80
     some = tokenfiles.read_token_files(shards, root, wanted={3, 7}).collect()
     assert {r["doc_id"] for r in some} == {3, 7}
     empty = shared_dir(spark)
@@ -240,16 +241,25 @@ def test_added_tokens_stay_whole():
     e = "<|endoftext|>"
     some = [f"a {e} b", e, e + e, f"x{e}y", f" {e}  {e}\n", f"one two.{e}\n three", f"<|{e}|>", f"{e[:-1]} {e}", "plain text", "", f"a\n\n {e} \n b  c"]
     assert t.encode(some[0], add_special_tokens=False).ids.count(50256) == 1
-    got = tokenfiles.Encoder(tokenfiles.vocabulary_path()).encode(some)
+    got = [b for part in tokenfiles.Encoder(tokenfiles.vocabulary_path()).encode(pa.array(some)) for b in part]
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
 
 
-def test_words_encode_apart():
+@pytest.mark.parametrize("cached", [800_000, 500])
+def test_words_encode_apart(monkeypatch, texts, cached):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "CACHED_WORDS", cached)
+    monkeypatch.setattr(tokenfiles, "SLICE_BYTES", 20_000)
+    plain = Tokenizer.from_file(tokenfiles.vocabulary_path())
     e = tokenfiles.Encoder(tokenfiles.vocabulary_path())
     r = random.Random(9)
-    some = ["".join(r.choice("abc'st.,?;12!  \t\n\x1c\x85 　é中<|>") for _ in range(r.randint(0, 40))) for _ in range(4000)]
-    want = [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(some)] == want
+    some = ["".join(r.choice("abc'st.,?;12!  \t\n\n\x1c\x85\xa0\u2003\u3000é×ñ中—“<|>") for _ in range(r.randint(0, 40))) for _ in range(6000)]
+    some += [f" {a}{b}{c}" for a in ("x", "é", "中", "'", "1") for b in ("\n", "\n\n", " \n", "\n ", ".", "'s", ",\n", "\u2028", " ") for c in ("y", " y", ".", "\u00a0z", "—", "")]
+    some += texts
+    want = [x.ids for x in plain.encode_batch(some, add_special_tokens=False)]
+    got = [np.frombuffer(b, "<u4").tolist() for part in e.encode(pa.array(some)) for b in part]
+    assert got == want
 
 
 def test_gru_counts(spark, sf, odd_docs):
