@@ -7,14 +7,14 @@ lengths, depth, digit ratio, character entropy, parameter counts, and the
 smoothed block rate of the host's last label among the training URLs.
 
 Everything is DataFrame operations and JVM-side MLlib.  The fit uses at most
-TRAIN_ROWS labelled rows, by hash order of the URL.  Null URLs, and URLs
+TRAIN_ROWS distinct labelled URLs, by hash order.  Null URLs, and URLs
 without "://", have an empty host and path and are judged by the trees.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +29,6 @@ RULES = (
     ("net/fr/", "block"),
 )
 TRAIN_ROWS, TREES, DEPTH = 20_000, 12, 4
-FEATURES = ("f_length", "f_host", "f_path", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_query", "f_hyphens", "f_secure", "f_fragment", "f_suffix_length", "f_suffix_rate")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,66 +52,87 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
-def with_features(pages: DataFrame, url: str, host: str, path: str) -> DataFrame:
-    """``pages`` with the lexical features but the suffix's rate, and ``__suffix``."""
-    u = F.coalesce(F.col(url), F.lit(""))
+def features(url: Column, host: Column, path: Column) -> list[Column]:
+    """The lexical features but the suffix's rate; a null URL is empty."""
+    u = F.coalesce(url, F.lit(""))
     n = F.length(u)
     chars = F.array_distinct(F.split(u, ""))
     share = lambda c: (n - F.length(F.replace(u, c))) / n
     entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
-    suffix = F.regexp_extract(F.col(host), r"([^.]*)$", 1)
-    made = {
-        "f_length": n.cast("double"),
-        "f_host": F.length(host).cast("double"),
-        "f_path": F.length(path).cast("double"),
-        "f_depth": count(F.col(path), "/[^/]"),
-        "f_labels": count(F.col(host), "[^.]+"),
-        "f_digits": F.when(n > 0, count(u, "[0-9]") / n).otherwise(0.0),
-        "f_entropy": F.when(n > 0, entropy).otherwise(0.0),
-        "f_params": F.when(query == "", 0.0).otherwise(1 + count(query, "&")),
-        "f_query": F.length(query).cast("double"),
-        "f_hyphens": count(u, "[-_]"),
-        "f_secure": u.startswith("https://").cast("double"),
-        "f_fragment": u.contains("#").cast("double"),
-        "f_suffix_length": F.length(suffix).cast("double"),
-        "__suffix": suffix,
-    }
-    return pages.withColumns(made)
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    made = [
+        n,
+        F.length(host),
+        F.length(path),
+        count(path, "/[^/]"),
+        count(host, "[^.]+"),
+        F.when(n > 0, count(u, "[0-9]") / n).otherwise(0.0),
+        F.when(n > 0, entropy).otherwise(0.0),
+        F.when(query == "", 0.0).otherwise(1 + count(query, "&")),
+        F.length(query),
+        count(u, "[-_]"),
+        u.startswith("https://"),
+        u.contains("#"),
+        F.length(suffix_of(host)),
+    ]
+    return [c.cast("double") for c in made]
+
+
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)$", 1)
+
+
+def _parsed(urls: DataFrame, rules: tuple) -> DataFrame:
+    """``urls`` with host, path, rule, label (the rule's verdict) and suffix of the column url."""
+    host, path = host_and_path(F.col("url"))
+    out = urls.withColumn("host", host).withColumn("path", path)
+    rule, label = rule_for(F.col("host"), F.col("path"), rules)
+    return out.withColumn("rule", rule).withColumn("label", label).withColumn("suffix", suffix_of(F.col("host")))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and the trees' block probability where no rule fits.
+def _vectors(urls: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
+    """``urls`` with the column features; ``rates`` has (suffix, rate)."""
+    filled = urls.join(rates, "suffix", "left")
+    made = [*features(F.col("url"), F.col("host"), F.col("path")), F.coalesce("rate", F.lit(mean))]
+    return filled.withColumn("features", array_to_vector(F.array(*made)))
 
-    Where the labelled URLs hold one verdict only, the trees' part is that
-    verdict, and "allow" where there are none.  Columns of ``pages`` by the
-    names of the new ones are replaced.
-    """
-    new = ("host", "path", "rule", "verdict")
-    base = pages.select(*[c for c in pages.columns if c not in new])
-    host, path = host_and_path(F.col(url))
-    base = base.withColumn("host", host).withColumn("path", path)
-    rule, label = rule_for(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("__label", label)
 
-    known = base.where("rule IS NOT NULL").select(url, "host", "path", (F.col("__label") == "block").cast("double").alias("label"))
-    sample = with_features(known.orderBy(F.xxhash64(url), F.col(url)).limit(train_rows), url, "host", "path")
+def train_trees(urls: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassificationModel | str, DataFrame | None, float]:
+    """Trees, suffix rates and the share of blocked ones, from at most ``train_rows`` distinct URLs that a rule judges.
+
+    With one verdict among them the trees are that verdict, and "allow" without any.
+    """
+    known = urls.where("label IS NOT NULL").groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "suffix", "label")])
+    known = known.withColumn("label", (F.col("label") == "block").cast("double"))
     # at most train_rows rows
-    sample = staged(sample.coalesce(1))
+    sample = staged(known.orderBy(F.xxhash64("url"), F.col("url")).limit(train_rows).coalesce(1))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
-        only = "block" if 1.0 in counts else "allow"
-        return base.withColumn("verdict", F.coalesce("__label", F.lit(only))).select(*[c for c in pages.columns if c not in new], *new)
+        return "block" if 1.0 in counts else "allow", None, 0.0
     mean = counts[1.0] / sum(counts.values())
-    rates = sample.groupBy("__suffix").agg(((F.sum("label") + mean) / (F.count("*") + 1)).alias("f_suffix_rate"))
-    fill = lambda df: df.join(rates, "__suffix", "left").withColumn("f_suffix_rate", F.coalesce("f_suffix_rate", F.lit(mean)))
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-    trees = GBTClassifier(labelCol="label", featuresCol="__features", predictionCol="__block", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).setRawPredictionCol("__raw").setProbabilityCol("__probability")
-    model = trees.fit(vector.transform(fill(sample)).select("label", "__features"))
-    judged = model.transform(vector.transform(fill(with_features(base, url, "host", "path"))))
-    verdict = F.coalesce("__label", F.when(F.col("__block") > 0, "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).select(*[c for c in pages.columns if c not in new], *new)
+    rates = staged(sample.groupBy("suffix").agg(((F.sum("label") + mean) / (F.count("*") + 1)).alias("rate")))
+    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False)
+    return trees.fit(_vectors(sample, rates, mean).select("label", "features")), rates, mean
+
+
+def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``pages`` with host, path, rule and verdict: the rule's, or the trees' where no rule fits.
+
+    Every row is judged by itself, so repeated URLs get one verdict; the trees learn each distinct URL once.
+    URLs of any length are read whole.  Columns of ``pages`` by the names of the new ones are replaced; all
+    others come back as they are.
+    """
+    new = ("host", "path", "rule", "verdict")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in new]
+    urls = _parsed(pages.select(F.struct(*kept).alias("page"), F.col(f"`{url}`").alias("url")), rules)
+    trees, rates, mean = train_trees(urls, train_rows)
+    if isinstance(trees, str):
+        judged = urls.withColumn("verdict", F.coalesce("label", F.lit(trees)))
+    else:
+        judged = trees.transform(_vectors(urls, rates, mean))
+        judged = judged.withColumn("verdict", F.coalesce("label", F.when(F.col("prediction") > 0, "block").otherwise("allow")))
+    return judged.select("page.*", *new)
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
