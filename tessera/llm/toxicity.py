@@ -5,7 +5,8 @@ words, each occurrence weighted by decay ** (characters that it spans), and is
 normalised by the words' own kernels.  So a word with inserted or left-out
 characters stays close to the insult that it hides.  A unit is a word without
 ASCII punctuation, or a run of single characters ("i d i o t") joined; units of
-over 24 characters are taken in overlapping windows.  A sentence scores as its
+over 24 characters are taken in windows of 24, every 3 characters, so what
+stretches over up to 22 characters is whole in one.  A sentence scores as its
 worst unit, and a text as its worst sentence.
 
 Training is multiple-instance: every unit of a clean text is clean, and the
@@ -18,8 +19,10 @@ kernels, it folds into one weight per character triple, which is what the tasks
 evaluate.  A logistic curve through the training texts turns decisions into
 scores.
 
-The fit uses at most TRAIN_DOCS labelled texts of each label, by hash order of
-doc_id, of at most TRAIN_CHARS characters each.  Scoring covers whole texts.
+The fit uses labelled texts of each label in hash order of doc_id: at most
+TRAIN_DOCS, and none after the one with which TRAIN_CHARS characters are
+reached.  Only documents that are there count; a doc_id that stands in several
+rows takes part once, with the shortest text.  Scoring covers whole texts.
 """
 
 from __future__ import annotations
@@ -32,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
 from tessera.llm.common import bucket_of, documents
 
-TRAIN_DOCS, TRAIN_CHARS = 1500, 40_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000_000
 LANDMARKS, COMMON = 160, 40
-DECAY, WINDOW, STEP = 0.6, 24, 12
+DECAY, WINDOW, STEP = 0.6, 24, 3
 #: Fits, each with the last one's worst errors added to the clean units.
 ROUNDS = 3
 THRESHOLD = 0.7
@@ -311,13 +315,21 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(folded, bias, *_logistic(worst[told], labels[told].astype(float)))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """At most ``per_label`` texts of each label, by hash order of doc_id; a doc_id labelled twice counts as toxic if once so."""
+def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
+    """At most ``per_label`` texts of each label, by hash order of doc_id, up to the one that reaches ``chars`` characters.
+
+    A doc_id labelled twice counts as toxic if once so; of its rows the shortest text is taken.  Null texts take no part.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    there = docs.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h")).where("n IS NOT NULL").join(known, "doc_id")
+    there = there.groupBy("doc_id").agg(F.min(F.struct("n", "h")).alias("x"), F.min("y").alias("y")).select("doc_id", "x.n", "x.h", "y")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.where("y = 1").orderBy(*order).limit(per_label).unionByName(known.where("y = 0").orderBy(*order).limit(per_label))
-    # at most 2 * per_label rows
-    rows = docs.select("doc_id", F.col("text").alias("t")).where(F.length("t") <= TRAIN_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "t", "y").collect()
+    first = F.sum("n").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    some = there.where("y = 1").orderBy(*order).limit(per_label).unionByName(there.where("y = 0").orderBy(*order).limit(per_label))
+    # at most 2 * per_label rows of numbers
+    some = some.withColumn("before", F.coalesce(first, F.lit(0))).where(F.col("before") < chars).drop("before")
+    rows = docs.select("doc_id", F.col("text").alias("t"), F.length("text").alias("n"), F.xxhash64("text").alias("h")).join(F.broadcast(some), ["doc_id", "n", "h"])
+    rows = rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["t"]))
     return [r["t"] for r in rows], np.array([r["y"] for r in rows])
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -96,7 +97,35 @@ def test_toxicity_uses_no_held_out_label(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     told = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     a = toxicity.training_texts(docs, told)
-    assert len(a[0]) <= told.count()
+    ids = {r[0] for r in told.collect()}
+    assert sorted(a[0]) == sorted(r["text"] for r in docs.collect() if r["doc_id"] in ids and r["text"] is not None)
+
+
+def test_toxicity_sample_bounds(spark, make_docs):
+    """Missing and repeated documents take no place of the sample, and a long text is learnt from like any other."""
+    rows = [(k, "x" * (50_000 if k == 3 else 5 + k), "s") for k in range(40)] + [(5, "xy" * 40, "s")] * 30 + [(None, "x", "s"), (7, None, "s")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(None, 1), (8, None)], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    texts, y = toxicity.training_texts(docs, labels, per_label=15)
+    assert len(texts) == 30 and sum(y) == 15
+    texts, y = toxicity.training_texts(docs, labels)
+    assert len(texts) == 40 and "x" * 50_000 in texts and "x" * 10 in texts
+    assert 2 <= len(toxicity.training_texts(docs, labels, chars=40)[0]) < 20
+
+
+def test_toxicity_finds_a_long_disguise_at_every_place():
+    rows = labelled()
+    m = toxicity.fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    disguised = "wretxchoqmunzd"
+    score = lambda texts: m.scores(*X.flat(pa.array(texts)))
+    assert score([disguised])[0] > 0.5
+    for size in (len(disguised), 20):
+        hidden = disguised.ljust(size, "q")
+        for k in range(30):
+            text = "ou" * 12 + "o" * k + hidden + "an" * 20
+            p = 24 + k
+            around = [text[i : i + toxicity.WINDOW] for i in range(p + size - toxicity.WINDOW, p + 1)]
+            assert score([text])[0] >= score(around).min() - 1e-9
 
 
 TURNS = "conv_id long, turn long, role string, text string, window int, mask string"
@@ -178,6 +207,46 @@ def test_urls(spark):
     assert {r["verdict"] for r in one} == {"allow"}
 
 
+def plain_features(u, host, path):
+    n, query = len(u), (re.search(r"\?([^#]*)", u) or ["", ""])[1]
+    share = [u.count(c) / n for c in set(u)]
+    return [
+        n, len(host), len(path), len(re.findall("/[^/]", path)), len(re.findall("[^.]+", host)), sum(c in "0123456789" for c in u) / n if n else 0.0,
+        -sum(x * math.log2(x) for x in share), 1 + query.count("&") if query else 0.0, len(query), sum(c in "-_" for c in u), float(u.startswith("https://")),
+        float("#" in u), len(host.rsplit(".", 1)[-1]),
+    ]
+
+
+def test_url_verdicts_by_plain_features_and_trees(spark, sf):
+    """Verdicts without a rule against features computed in Python and trees walked node by node."""
+    clash = {c: F.lit(7.0) for c in ("f_length", "f_suffix_rate", "label", "features", "suffix", "rate", "prediction", "page", "verdict")}
+    long = [(-1, "https://x.org/" + "a1/" * 30_000), (-2, None), (-3, ""), (-4, "https://x.org/"), (-5, "https://x.org/")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame(long, "page_id long, url string")).withColumns(clash)
+    out = urlfilter.judge_urls(pages)
+    assert out.columns == [*[c for c in pages.columns if c != "verdict"], "host", "path", "rule", "verdict"]
+    assert out.where("f_length <> 7 OR f_suffix_rate <> 7 OR label <> 7 OR page <> 7").count() == 0
+    trees, rates, mean = urlfilter.train_trees(urlfilter._parsed(pages.select("url"), urlfilter.RULES))
+    rate = {r["suffix"]: r["rate"] for r in rates.collect()}
+    walk = []
+    for tree in trees.trees:
+        node = tree._call_java("rootNode")
+        walk.append(node)
+
+    def value(node, x):
+        while node.subtreeDepth() > 0:
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    judged = out.where("rule IS NULL").collect()
+    assert len(judged) > 20 and {r["verdict"] for r in judged if (r["page_id"] or 0) <= -4} != set()
+    for r in judged[:40] + [r for r in judged if r["page_id"] < 0]:
+        x = [*plain_features(r["url"] or "", r["host"], r["path"]), rate.get(r["host"].rsplit(".", 1)[-1], mean)]
+        total = sum(w * value(n, x) for w, n in zip(trees.treeWeights, walk, strict=True))
+        assert r["verdict"] == ("block" if total > 0 else "allow")
+    assert len({r["verdict"] for r in judged if r["url"] == "https://x.org/"}) == 1
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(5, 5), (None, 3)]
