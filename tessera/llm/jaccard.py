@@ -63,7 +63,7 @@ HEAVY, HOT = 64, 1 << 20
 #: Classes, and shingles of theirs, of a block that is compared in one task with another, and shingles counted at once.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
 #: Pairs of rows that are counted at once.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
 
 
 def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,8 +79,8 @@ def _shingles(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndar
         yield i, value, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int64)
 
 
-def _summed(tasks: DataFrame, size: int, kind: type, join) -> np.ndarray:
-    """The blocks that tasks sent, joined in tasks of their own; only the result reaches the driver."""
+def _summed(tasks: DataFrame, size: int, kind: type, join, last=lambda x: x) -> np.ndarray:
+    """The blocks that tasks sent, joined in tasks of their own; only the result, after ``last``, reaches the driver, as bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -89,11 +89,11 @@ def _summed(tasks: DataFrame, size: int, kind: type, join) -> np.ndarray:
                 x = np.frombuffer(zlib.decompress(b), kind)
                 sums[k] = join(sums[k], x) if k in sums else x
         if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "x": pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "x": pa.array([zlib.compress(last(s).tobytes(), 1) for s in sums.values()], pa.binary())})
 
-    out = np.zeros((BLOCKS, size // BLOCKS), kind)
+    out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
     for block, x in tasks.repartition("block").mapInArrow(add, "block int, x binary").collect():
-        out[block] = np.frombuffer(zlib.decompress(x), kind)
+        out[block] = np.frombuffer(zlib.decompress(x), np.uint8)
     return out.reshape(-1)
 
 
@@ -126,7 +126,7 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     def add_up(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(x.astype(np.int64) + y, np.iinfo(np.int32).max).astype(np.int32)
 
-    return _levels(_summed(texts.mapInArrow(count, "block int, x binary"), SKETCH, np.int32, add_up))
+    return _summed(texts.mapInArrow(count, "block int, x binary"), SKETCH, np.int32, add_up, _levels)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:

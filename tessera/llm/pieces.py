@@ -21,18 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import textops as X
 from tessera.llm.common import documents
 
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches, and symbols merged at once; only memory depends on them.
-CACHED_WORDS, FLAT_SYMBOLS = 400_000, 2_000_000
-#: Texts of a batch handled together, in characters.
-CHARS = 2_000_000
+CACHED_WORDS, FLAT_SYMBOLS = 300_000, 400_000
+#: Texts of a batch handled together, in bytes.
+BYTES = 1_000_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -247,17 +249,6 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= CHARS):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
-
-
 def encode_pieces(docs: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = True) -> DataFrame:
     """``docs`` with ids (array<int>, begin and end included) and the decoded text, or their digests.
 
@@ -278,9 +269,10 @@ def encode_pieces(docs: DataFrame, text: str = "text", path: str | None = None,
         m = model(path)
         head, tail = np.array([m.bos], "<u4").tobytes(), np.array([m.eos], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for i, j in _groups(texts):
-                coded = [head + b + tail for b in m.encode_batch(texts[i:j])]
+            texts = batch.column(batch.num_columns - 1)
+            sizes = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
+            for i, j in X.slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), BYTES):
+                coded = [head + b + tail for b in m.encode_batch([t or "" for t in texts.slice(i, j - i).to_pylist()])]
                 cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 cols.append(pa.array([len(b) // 4 for b in coded], pa.int64()))
                 arrays = [np.frombuffer(b, "<u4") for b in coded]

@@ -191,7 +191,10 @@ def sampled_order(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS)
 
     The order changes what a rejection costs and never a verdict.
     """
-    sample = docs.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("t")).limit(rows).collect()
+    hashed = docs.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
+    # the hashes alone are ranked, so tasks send no texts but the chosen ones
+    least = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= least).groupBy("h").agg(F.min("t").alias("t")).collect() if least is not None else []
     return [x["rule"] for x in plan(pa.array([r["t"] for r in sample], pa.string()))]
 
 
