@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import tessera.plans.decisions  # noqa: F401  (registers its queries)
+import tessera.plans.governance  # noqa: F401
 from tessera.plans.queries import ORACLE, QUERIES
 
 
