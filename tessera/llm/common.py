@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch of whole texts, and Spark's own default.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS, unless the user has set another number than the default.
+
+    Ten thousand long texts at once are what fills an executor's memory outside the heap; batches change no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage."""
     spark = df.sparkSession

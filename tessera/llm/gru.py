@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textops as X
-from tessera.llm.common import bucket_of, documents, staged
+from tessera.llm.common import bounded_batches, bucket_of, documents, staged
 
 SHORT, CLASS, BANDS = 4096, 64, 16
 #: Words, at most, whose counts every task gets (24 bytes each); the rest meet their counts in a join.
@@ -612,7 +612,7 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     Null texts are empty: the end token alone.  Repeated rows are scored each.
     Without training documents every count is 0.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     counts = staged(word_counts(train.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, numbers = common_words(counts)

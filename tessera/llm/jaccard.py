@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import Scratch, documents, staged
+from tessera.llm.common import Scratch, bounded_batches, documents, staged
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -410,6 +410,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    bounded_batches(spark)
     share = spark.sparkContext.broadcast
     sketch = share(frequency_sketch(docs.select("text")))
     rows = scratch.staged(_prefixed(docs, sketch, percent))
@@ -448,6 +449,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = staged(named.join(least, "root").select("cls", "n", "m", "doc_id", "root", "component_id", "n_links"))
     scratch.clear()
+    for b in (sketch, wanted):
+        b.destroy()
     return table, out, links
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textops as X
-from tessera.llm.common import documents
+from tessera.llm.common import bounded_batches, documents
 
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches, and symbols merged at once; only memory depends on them.
@@ -256,6 +256,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", path: str | None = None,
     of the new ones are replaced.
     """
     path = path or model_path()
+    bounded_batches(docs.sparkSession)
     new = [T.StructField("n_tokens", T.LongType())]
     if ids:
         new += [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textops as X
-from tessera.llm.common import documents
+from tessera.llm.common import bounded_batches, documents
 
 MIN_WORDS, REPEAT_SHARE = 10, 20
 #: Rows of the sample on which costs and selectivities are estimated.
@@ -207,6 +207,7 @@ def score_quality(docs: DataFrame, text: str = "text", order: list[str] | None =
     Columns of ``docs`` by the names of the new ones are replaced.
     """
     order = order or sampled_order(docs, text)
+    bounded_batches(docs.sparkSession)
     new = [T.StructField(f, T.LongType()) for f in FEATURES] * features
     new += [T.StructField("base_failed", T.BooleanType())] * features + [T.StructField("kept", T.BooleanType())]
     names = {f.name for f in new}

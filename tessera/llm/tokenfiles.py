@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import documents, shared_dir, staged
+from tessera.llm.common import bounded_batches, documents, shared_dir, staged
 
 END_ID = 2
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -347,6 +347,7 @@ def write_token_files(docs: DataFrame, root: str, path: str | None = None, end_i
     give the end id alone.  An empty table gives no shards.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounded_batches(docs.sparkSession)
     cuts = shard_cuts(docs, shard_rows)
     frames = frames_of(docs, path or vocabulary_path(), end_id, cuts)
     parted = frames.repartitionById(cuts.total, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "check", "size", "frame")

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import bucket_of, documents
+from tessera.llm.common import bounded_batches, bucket_of, documents
 
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000_000
 LANDMARKS, COMMON = 160, 40
@@ -342,6 +342,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     base = [f for f in docs.schema.fields if f.name != "score"]
     source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
