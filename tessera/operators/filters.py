@@ -58,14 +58,19 @@ def full_text(json: Column, value: str) -> Column:
     return F.contains(F.lower(F.to_json(F.parse_json(json))), F.lit(value.lower()))
 
 
-def paged(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Rows offset to offset + limit; a negative limit takes from the end, a negative offset drops from the end."""
+def paged(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0, flipped: list[Column] | None = None) -> DataFrame:
+    """Rows offset to offset + limit; a negative limit takes from the end, a negative offset drops from the end.
+
+    ``flipped`` is the reverse of ``order``: with it the rows from the end are a top-k as well, and nothing is counted.
+    """
     if offset < 0:
         df = df.orderBy(*order).limit(max(0, df.count() + offset))
     elif offset:
         df = df.orderBy(*order).offset(offset)
     if limit is None:
         return df
+    if limit < 0 and flipped and not offset:
+        return df.orderBy(*flipped).limit(-limit)
     if limit < 0:
         return df.orderBy(*order).offset(max(0, df.count() + limit))
     return df.orderBy(*order).limit(limit)

@@ -28,10 +28,12 @@ def jaccard_edges(pairs: DataFrame, item: str, key: str) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder of spark.checkpoint.dir."""
+    """Cuts the lineage with a table in the shared folder of spark.checkpoint.dir; a cluster has to name one."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -51,7 +51,7 @@ def l07_offset_page(spark, d):
 
 @query("p02_negative_limit", f"{with_views('outcomes')} SELECT event_id, repo FROM (SELECT * FROM outcomes WHERE outcome = 'failure' ORDER BY ts ASC, event_id ASC LIMIT 30) t")
 def p02_negative_limit(spark, d):
-    return P.paged(V.outcomes(spark, d).where("outcome = 'failure'"), last(), -30).select("event_id", "repo")
+    return P.paged(V.outcomes(spark, d).where("outcome = 'failure'"), last(), -30, flipped=[F.col("ts"), F.col("event_id")]).select("event_id", "repo")
 
 
 @query("f01_field_equal", "SELECT event_id, event_type FROM events WHERE coalesce(json_extract_string(props, '$.k'), '') = '7'")
