@@ -23,7 +23,7 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: The toxicity model and the pieces are beyond SQL; tests hold each stage against brute force.
+#: The toxicity model and the pieces are beyond SQL; the tests hold the Jaccard stage, and each operator, against plain versions.
 ORACLE_SQL = None
 
 
