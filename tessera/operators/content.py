@@ -58,11 +58,11 @@ PATTERNS = (
     Pattern(("rescript",), "getexn_on_external", "critical", r"getExn"),
     Pattern(("rescript",), "obj_magic", "high", r"Obj\.magic"),
     Pattern(("rescript",), "json_decode_no_validation", "critical", r"JSON\.parseExn"),
-    Pattern(("affine", "affinescript"), "handle_as_fn_name", "high", r"(?:^|\n)\s*(?:pub\s+)?(?:total\s+)?fn\s+handle\s*[(<]"),
-    Pattern(("affine", "affinescript"), "ocaml_style_float_div", "high", r"[a-zA-Z0-9_)\]]\s*/\.\s"),
-    Pattern(("affine", "affinescript"), "ocaml_style_float_mul", "high", r"[a-zA-Z0-9_)\]]\s*\*\.\s"),
-    Pattern(("affine", "affinescript"), "ocaml_style_float_add", "high", r"[a-zA-Z0-9_)\]]\s*\+\.\s"),
-    Pattern(("affine", "affinescript"), "ocaml_style_float_sub", "high", r"[a-zA-Z0-9_)\]]\s*-\.\s"),
+    Pattern(("affine",), "handle_as_fn_name", "high", r"(?:^|\n)\s*(?:pub\s+)?(?:total\s+)?fn\s+handle\s*[(<]"),
+    Pattern(("affine",), "ocaml_style_float_div", "high", r"[a-zA-Z0-9_)\]]\s*/\.\s"),
+    Pattern(("affine",), "ocaml_style_float_mul", "high", r"[a-zA-Z0-9_)\]]\s*\*\.\s"),
+    Pattern(("affine",), "ocaml_style_float_add", "high", r"[a-zA-Z0-9_)\]]\s*\+\.\s"),
+    Pattern(("affine",), "ocaml_style_float_sub", "high", r"[a-zA-Z0-9_)\]]\s*-\.\s"),
     Pattern(("idris2",), "believe_me", "critical", r"believe_me"),
     Pattern(("idris2",), "assert_total", "high", r"assert_total"),
     Pattern(("idris2",), "assert_smaller", "high", r"assert_smaller"),

@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -53,8 +53,8 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 50, toleran
     the shared folder, which keeps plans short and survives lost executors.
     """
     e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    e = _written(e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
-    nodes = _written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = written(e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
+    nodes = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     n = nodes.count()
     ranks = nodes.withColumn("score", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
@@ -63,7 +63,7 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 50, toleran
         if (k + 1) % every and k + 1 < rounds:
             ranks = new
             continue
-        new = _written(new)
+        new = written(new)
         shift = new.alias("x").join(ranks.alias("y"), "node").agg(F.max(F.abs(F.col("x.score") - F.col("y.score")))).first()[0]
         ranks = new
         if shift is None or shift < tolerance:

@@ -7,6 +7,7 @@ import pytest
 import tessera.plans.decisions  # noqa: F401  (registers its queries)
 import tessera.plans.content  # noqa: F401
 import tessera.plans.governance  # noqa: F401
+import tessera.plans.routing  # noqa: F401
 import tessera.plans.stores  # noqa: F401
 from tessera.operators import governance as K
 from tessera.plans.queries import ORACLE, QUERIES
