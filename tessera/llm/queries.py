@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import caps, chat, gru, jaccard, mixture, pieces, quality, tokenfiles, toxicity, urlfilter
+from tessera.llm import caps, chat, gru, jaccard, ledger, mixture, pieces, quality, runs, spelling, tokenfiles, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_urls": urlfilter.op8_urls,
     "op9_cap_filters": caps.op9_cap_filters,
     "op10_pieces": pieces.op10_pieces,
+    "op11_blob_ledger": ledger.op11_blob_ledger,
+    "op12_letter_parity": spelling.op12_letter_parity,
+    "op13_runs": runs.op13_runs,
     "jaccard_links": jaccard.jaccard_links,
 }
 
@@ -24,5 +27,8 @@ ORACLE = {
     "op6_mixture": mixture.OP6_SQL,
     "op7_quality_cascade": quality.OP7_SQL,
     "op9_cap_filters": caps.OP9_SQL,
+    "op11_blob_ledger": ledger.OP11_SQL,
+    "op12_letter_parity": spelling.OP12_SQL,
+    "op13_runs": runs.OP13_SQL,
     "jaccard_links": jaccard.LINKS_SQL,
 }
