@@ -88,6 +88,12 @@ def decode(unit: np.ndarray, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.nda
     return row[order], name[order]
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows (none of them zero) at length one; by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _filters(classes: DataFrame) -> DataFrame:
     """``classes`` (cls, n, dim, embedding) with their filters; vectors of one length up to SMALL_DIM share a single one."""
 
@@ -102,7 +108,7 @@ def _filters(classes: DataFrame) -> DataFrame:
                     if dim <= SMALL_DIM:
                         row, name = np.arange(len(x)), np.full(len(x), TABLES * WORDS**BLOCKS + dim)
                     else:
-                        row, name = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                        row, name = decode(_unit(x))
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(name.astype(np.int32)))], names=[*some.schema.names, "filters"])
 
@@ -141,7 +147,7 @@ def _compare(block: pa.RecordBatch, cosine: float) -> pa.RecordBatch:
         of = np.flatnonzero(dim == d)
         x = np.zeros((len(name), d))
         x[of] = flat[X.ragged(at[of], dim[of])].reshape(-1, d)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x[of] = _unit(x[of])
         some = dim[starts] == d
         for i, j in _runs(starts[some], sizes[some]):
             ok = (side[i] != side[j]) | (a[i] == b[i])

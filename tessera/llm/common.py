@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,29 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` as the columns ``own`` and one struct ``row`` of all others, and what brings back its columns in their order.
+
+    Whatever columns an operator adds or uses in between, none of the input's can clash with them.
+    """
+    names = docs.columns
+    others = [F.col(f"`{c}`") for c in names if c not in own]
+    row = [F.struct(*others).alias("row")] if others else []
+
+    def unpacked(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in names])
+
+    return docs.select(*own, *row), unpacked
+
+
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def bucket_of(column: str, parts: int):
     """crc32 of an id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string")) % parts

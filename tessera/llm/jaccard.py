@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import Scratch, bounded_batches, documents, staged
+from tessera.llm.common import Scratch, bounded_batches, documents, packed, staged
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -479,17 +479,16 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     component whose doc_ids are all null keeps one row likewise.  Documents
     without words all stay.
     """
-    names = docs.columns
-    table, classes, _ = jaccard_classes(docs.select("doc_id", "text"))
+    rows, unpacked = packed(docs, "doc_id", "text")
+    table, classes, _ = jaccard_classes(rows.select("doc_id", "text"))
     marked = table.join(classes.select("cls", "root", "component_id"), "cls", "left")
     keep = staged(marked.where("cls IS NULL OR doc_id <=> component_id").select("doc_id", "cls", "root"))
     ids = keep.where("doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
     several = table.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(ids, "doc_id", "left_semi").select(*names)
+    kept = rows.join(ids, "doc_id", "left_semi").select(*rows.columns)
     if several.isEmpty() and keep.where("doc_id IS NULL").isEmpty():
-        return kept
-    rows = _with_class(kept.unionByName(docs.where("doc_id IS NULL")))
-    return _one_each(rows, keep, names)
+        return unpacked(kept)
+    return unpacked(_one_each(_with_class(kept.unionByName(rows.where("doc_id IS NULL"))), keep, rows.columns))
 
 
 def _with_class(docs: DataFrame) -> DataFrame:

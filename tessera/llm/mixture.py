@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, staged
+from tessera.llm.common import documents, packed, staged
 
 WEIGHTS, SHARE, LIMIT, TILT = (3, 1, 2), 1.5, 2, 8
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,15 +74,17 @@ def mix_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """
     new = ("size", "source_size", "target", "copies")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.select(*[c for c in docs.columns if c not in new], size.alias("size"))
     mixed = mix_sized(staged(docs.select(F.col(key), "source", size.alias("words"))), key)
-    by = [F.col(c) for c in (key, "source", "size")]
-    alike = F.struct(*by)
-    number = lambda *more: F.row_number().over(Window.partitionBy(*by).orderBy(*more))
-    left = named.withColumn("__k", alike).withColumn("__i", number(F.col(text)))
-    right = mixed.select(alike.alias("__k2"), number(F.col("copies")).alias("__i2"), "source_size", "target", "copies")
-    both = left.join(right, left["__k"].eqNullSafe(right["__k2"]) & (left["__i"] == right["__i2"]))
-    return both.select(*[c for c in docs.columns if c not in new], *new)
+    number = lambda by, more: F.row_number().over(Window.partitionBy(by).orderBy(more))
+    # the input's columns travel as one struct, so none of their names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.select(row.alias("row"), F.struct(F.col(key).alias("key"), F.col("source").alias("source"), size.alias("size")).alias("alike"))
+    left = left.withColumn("i", number("alike", F.col("row").getField(text)))
+    right = mixed.select(F.struct(F.col(key).alias("key"), "source", "size").alias("other"), "source_size", "target", "copies")
+    right = right.withColumn("j", number("other", "copies"))
+    both = left.join(right, left["alike"].eqNullSafe(right["other"]) & (left["i"] == right["j"]))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
+    return both.select(*kept, F.col("alike.size").alias("size"), "source_size", "target", "copies")
 
 
 def mix_sized(sized: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -133,8 +135,9 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents: each row as often as the sampler takes it."""
-    names = docs.columns
-    return mix_copies(docs).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    rows, unpacked = packed(docs, "doc_id", "text", "source")
+    mixed = mix_copies(rows).where("copies > 0")
+    return unpacked(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 OP6_SQL = r"""

@@ -9,6 +9,13 @@ pair leaves.  Merging at once equals the library's one-at-a-time order unless a
 merged piece is itself part of a piece of the same or a better rank; for such
 pieces only the leftmost occurrence of a word is merged in a round.
 
+A word of n symbols may need as many rounds as its pairs have ranks, and each is
+a pass over the array.  So a long word (a run of base64, say) is compacted
+lazily instead: its symbols are linked, its pairs lie in buckets by rank, a round
+takes the least bucket, and only the pairs beside a merge are looked up again.
+Its rounds are the same; all of them together touch a symbol about as often as
+it is merged.
+
 The model file is read with the sentencepiece library's own reader; encoding
 and decoding do not call it.
 """
@@ -16,8 +23,10 @@ and decoding do not call it.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textops as X
-from tessera.llm.common import bounded_batches, documents
+from tessera.llm.common import bounded_batches, documents, free_name
 
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches, and symbols merged at once; only memory depends on them.
 CACHED_WORDS, FLAT_SYMBOLS = 300_000, 400_000
+#: Symbols from which a word is merged by buckets of rank; only time depends on it.
+LONG = 4096
+#: Pairs of a bucket that are merged one by one.
+FEW = 12
 #: Texts of a batch handled together, in bytes.
 BYTES = 1_000_000
 
@@ -84,6 +97,7 @@ class PieceModel:
         self.keys, self.merged, self.ranks = (np.array(x, np.int64)[order] for x in (keys, merged, ranks))
         self.alone = np.zeros(self.width, bool)
         self.alone[[normal[p] for p in alone]] = True
+        self.alone_ranks = {rank[score[p]] for p in alone}
         self.table_size = 1 << 20
         self.table = self._table()
         self.cache: dict[str, bytes] = {}
@@ -116,6 +130,13 @@ class PieceModel:
         """Final symbols and their words; ``word`` ascends."""
         done_s, done_w = [], []
         big = np.iinfo(np.int64).max
+        edge = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]])
+        for k in np.flatnonzero(np.diff(edge) >= LONG):
+            done_s.append(self.merge_long(symbols[edge[k] : edge[k + 1]]))
+            done_w.append(np.full(len(done_s[-1]), word[edge[k]]))
+        if done_s:
+            short = np.repeat(np.diff(edge) < LONG, np.diff(edge))
+            symbols, word = symbols[short], word[short]
         while len(symbols):
             at = np.full(len(symbols), -1, np.int64)
             same = np.flatnonzero(word[1:] == word[:-1])
@@ -160,6 +181,98 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    @cached_property
+    def place(self) -> dict[int, int]:
+        """Position in the merge table by key, for single pairs."""
+        return dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Final symbols of one word."""
+        n = len(symbols)
+        symbols = np.append(symbols, -1)
+        # neighbours by place; place n is the end, and stands before place 0
+        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n - 1)
+        before[0] = n
+        none = np.iinfo(np.int64).max
+        found, rank = np.full(n + 1, -1, np.int64), np.full(n + 1, none)
+        buckets: dict[int, list] = {}
+        waiting: list[int] = []
+
+        def put(r: int, places) -> None:
+            if r not in buckets:
+                buckets[r] = []
+                heapq.heappush(waiting, r)
+            buckets[r].append(places)
+
+        def look(at: np.ndarray) -> None:
+            """Looks up the pairs that begin at these places and puts them in their buckets."""
+            rank[at] = none
+            at = at[after[at] < n]
+            found[at] = self.find(symbols[at], symbols[after[at]])
+            at = at[found[at] >= 0]
+            rank[at] = self.ranks[found[at]]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else []:
+                put(int(rank[part[0]]), part)
+
+        def merge_one(i: int) -> None:
+            gone = int(after[i])
+            onward = int(after[gone])
+            symbols[i] = self.merged[found[i]]
+            rank[gone] = none
+            after[i], before[onward] = onward, i
+            for j in (i, int(before[i])):
+                if j < n:
+                    right = int(after[j])
+                    k = self.place.get(int(symbols[j]) * self.width + int(symbols[right]), -1) if right < n else -1
+                    found[j], rank[j] = k, self.ranks[k] if k >= 0 else none
+                    if k >= 0:
+                        put(int(rank[j]), (j,))
+
+        def merge_all(where: np.ndarray) -> None:
+            """The leftmost non-overlapping ones of these places at once."""
+            run = np.flatnonzero(np.concatenate([[True], after[where[:-1]] != where[1:]]))
+            within = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
+            where = where[within % 2 == 0]
+            gone = after[where]
+            onward = after[gone]
+            symbols[where] = self.merged[found[where]]
+            rank[gone] = none
+            after[where], before[onward] = onward, where
+            ahead = before[where]
+            look(np.unique(np.concatenate([where, ahead[ahead < n]])))
+
+        look(np.arange(n))
+        singles: dict[int, list[int]] = {}
+        while waiting:
+            least = heapq.heappop(waiting)
+            parts = buckets.pop(least)
+            if least in self.alone_ranks:
+                # the leftmost one; better pairs that it makes go before the next
+                heap = singles.setdefault(least, [])
+                for i in itertools.chain.from_iterable(parts):
+                    heapq.heappush(heap, int(i))
+                while heap and rank[heap[0]] != least:
+                    heapq.heappop(heap)
+                if heap:
+                    merge_one(heapq.heappop(heap))
+                    put(least, ())
+                continue
+            if sum(map(len, parts)) <= FEW:
+                for i in sorted({int(i) for part in parts for i in part}):
+                    if rank[i] == least:
+                        merge_one(i)
+                continue
+            where = np.unique(np.concatenate([np.asarray(part, np.int64) for part in parts]))
+            where = where[rank[where] == least]
+            if len(where):
+                merge_all(where)
+        out, at = [], 0
+        while at < n:
+            out.append(at)
+            at = int(after[at])
+        return symbols[np.array(out, np.int64)]
+
     def _encode_new(self, words: list[str]) -> None:
         """Adds the ids of words (with their space marks) to the cache."""
         text = "".join(words)
@@ -264,7 +377,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", path: str | None = None,
         new += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     names = {f.name for f in new}
     base = [f for f in docs.schema.fields if f.name not in names]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias(free_name(docs, "text_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

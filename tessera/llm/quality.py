@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textops as X
-from tessera.llm.common import bounded_batches, documents
+from tessera.llm.common import bounded_batches, documents, free_name, packed
 
 MIN_WORDS, REPEAT_SHARE = 10, 20
 #: Rows of the sample on which costs and selectivities are estimated.
@@ -212,8 +212,11 @@ def score_quality(docs: DataFrame, text: str = "text", order: list[str] | None =
     new += [T.StructField("base_failed", T.BooleanType())] * features + [T.StructField("kept", T.BooleanType())]
     names = {f.name for f in new}
     base = [f for f in docs.schema.fields if f.name not in names]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(text).alias("__text")) if text in names else docs.select(*[F.col(f"`{f.name}`") for f in base])
-    column = "__text" if text in names else text
+    source = docs.select(*[F.col(f"`{f.name}`") for f in base])
+    column = text
+    if text in names:
+        column = free_name(docs, "text_")
+        source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +232,7 @@ def score_quality(docs: DataFrame, text: str = "text", order: list[str] | None =
                 else:
                     parts.append([kept])
             if parts:
-                cols = [batch.column(k) for k, f in enumerate(batch.schema) if f.name != "__text"]
+                cols = [batch.column(k) for k in range(len(base))]
                 cols += [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in base] + [f.name for f in new])
 
@@ -244,8 +247,8 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every rule passes, with their own columns."""
-    names = docs.columns
-    return score_quality(docs, features=False).where("kept").select(*names)
+    rows, unpacked = packed(docs, "doc_id", "text")
+    return unpacked(score_quality(rows, features=False).where("kept"))
 
 
 OP7_SQL = r"""

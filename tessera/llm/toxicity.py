@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import textops as X
-from tessera.llm.common import bounded_batches, bucket_of, documents
+from tessera.llm.common import bounded_batches, bucket_of, documents, free_name, packed
 
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000_000
 LANDMARKS, COMMON = 160, 40
@@ -340,7 +340,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     A column of ``docs`` named score is replaced.
     """
     base = [f for f in docs.schema.fields if f.name != "score"]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in base], F.col(f"`{text}`").alias(free_name(docs, "text_")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
 
@@ -370,6 +370,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; trained on this stage's own input."""
-    names = docs.columns
-    model = trained(spark, sf_dir, docs)
-    return score_toxicity(docs, model).where(F.col("score") < THRESHOLD).select(*names)
+    rows, unpacked = packed(docs, "doc_id", "text")
+    model = trained(spark, sf_dir, rows.select("doc_id", "text"))
+    return unpacked(score_toxicity(rows, model).where(F.col("score") < THRESHOLD))

@@ -337,4 +337,39 @@ def test_entry_without_llm():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
-    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
+    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 13
+
+
+def test_embeddings_of_any_magnitude(spark):
+    """Finite vectors whose squares over- or underflow link as their directions do."""
+    rng = np.random.default_rng(4)
+    for dim in (24, 8):
+        v = rng.standard_normal(dim)
+        rows = [(k, (v * s).tolist()) for k, s in enumerate((1.0, 1e-170, 1e200, 3e-308))] + [(9, rng.standard_normal(dim).tolist())]
+        out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert out == {**{k: (3, 0) for k in range(4)}, 9: (0, 9)}
+
+
+#: Names that the operators of the stages give to columns of their own, now or before.
+OWN_NAMES = (
+    "size", "source_size", "target", "copies", "words", "copy", "row", "alike", "other", "key", "i", "j", "score", "kept", "n_words", "base_failed", "cls", "root", "component_id", "n", "m",
+    "n_links", "count", "text_", "text__", "__text", "__k", "__k2", "__i", "__i2", "__copy", "__cls", "__of", "__id", "__root", "__row", "__src", "__bits", "__x", "__bin", "level", "a.b", "h", "y", "p1", "hot", "token", "hub", "group",
+)
+
+
+def test_stages_keep_every_column(spark, sf, odd_docs):
+    """Columns by every internal name come through all stages with their values."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd_docs)
+    mark = lambda name: F.concat(F.lit(name + "="), F.coalesce(F.md5("text"), F.lit("none")))
+    step = docs.select("*", *[mark(c).alias(c) for c in OWN_NAMES])
+    names, types = step.columns, step.dtypes
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        step = f(spark, step, sf)
+        assert step.columns == names and step.dtypes == types, name
+        step = spark.createDataFrame(step.toArrow())
+        wrong = [F.count_if(~F.col(f"`{c}`").eqNullSafe(mark(c))).alias(str(k)) for k, c in enumerate(OWN_NAMES)]
+        assert sum(step.agg(*wrong).first()) == 0 and step.count() > 100, name
+    out = corpus_pipeline.STAGES[-1][1](spark, step, sf)
+    assert out.count() == step.count()

@@ -8,6 +8,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -336,7 +337,6 @@ def test_gru_score_step_by_step(spark, make_docs, monkeypatch):
 
 
 LONG_TEXT = """
-import resource
 import numpy as np
 from tessera.llm import gru
 v = gru.Vocabulary.build(np.arange(1, 9001, dtype=np.uint64), np.arange(9000, 0, -1), 9000 * 9001 // 2, 9000)
@@ -347,7 +347,7 @@ trainer = gru.Trainer(gru.start_params(v))
 trainer.train(ids, offsets)
 assert all(np.isfinite(x).all() for x in trainer.p.values())
 assert np.isfinite(gru.log_probs(trainer.p, ids, offsets)).all()
-print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+print(next(x.split()[1] for x in open("/proc/self/status") if x.startswith("VmHWM")))
 """
 
 
@@ -397,3 +397,33 @@ def test_state_is_carried_across_windows():
     alone = gru.log_probs(p, ids, np.array([0, 500]))
     among = gru.log_probs(p, np.concatenate([ids[:90], ids, ids[:7]]), np.array([0, 90, 590, 597]))
     assert np.allclose(alone, among[90:590], atol=1e-4)
+
+
+def long_words():
+    r = random.Random(1)
+    low, base = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    yield "".join(r.choice(low) for _ in range(1_000_000))
+    yield "".join(r.choice(base) for _ in range(300_000)) + " tail"
+    yield "a" * 30_001 + "ab" * 9_000 + "the" * 7_000 + "中" * 5_000 + "." * 9_999 + "é" * 6_000 + "=-" * 8_000
+    yield " " * 9_000 + "x" + " " * 70_000 + "y" * 5_000
+    yield "".join(r.choice(["the", "ing", "tion", "ation", "...", "00", "000", "▁"]) for _ in range(20_000))
+
+
+def test_pieces_of_long_words():
+    """Up to a million characters without a space, as the library has them, in a time that grows with the length."""
+    path = pieces.model_path()
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    began = time.perf_counter()
+    for t in long_words():
+        assert np.frombuffer(m.encode_batch([t])[0], "<u4").tolist() == sp.encode(t)
+    assert time.perf_counter() - began < 60
+
+
+def test_buckets_of_rank_and_rounds_agree(monkeypatch, texts):
+    """Every word by both ways of bookkeeping."""
+    path = pieces.model_path()
+    by_rounds = pieces.PieceModel(path).encode_batch(texts[:40])
+    monkeypatch.setattr(pieces, "LONG", 1)
+    assert pieces.PieceModel(path).encode_batch(texts[:40]) == by_rounds
+    monkeypatch.setattr(pieces, "FEW", 0)
+    assert pieces.PieceModel(path).encode_batch(texts[:40]) == by_rounds
