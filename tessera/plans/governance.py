@@ -204,34 +204,6 @@ def j13_synergies(spark, d):
 
 # --- Gates, leases, merges -----------------------------------------------------------------------
 
-@query("k01_gate_review", f"""WITH {_ACTIONS}, s AS (SELECT *, floor(epoch(ts))::BIGINT AS sec FROM actions), g AS (SELECT *, count(*) OVER (PARTITION BY repo ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS hour, count(*) OVER (PARTITION BY repo ORDER BY sec RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING) AS held FROM s)
-SELECT action_id, CASE WHEN bot = 'gsbot' AND strategy = 'auto_execute' THEN 'reject' WHEN held > 0 THEN 'defer' WHEN strategy = 'auto_execute' AND confidence < 0.95 THEN 'downgrade' WHEN hour >= 3 THEN 'hold-rate' WHEN abs(confidence - neural) > 0.15 AND strategy = 'auto_execute' THEN 'hold-neural' ELSE 'approve' END AS verdict FROM g""")
-def k01_gate_review(spark, d):
-    """The first check that an action fails: directives, a repository's lock of 60 s, confidence, three an hour, the network's view."""
-    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    within = lambda s: F.count("*").over(Window.partitionBy("repo").orderBy("sec").rangeBetween(-s, -1))
-    auto = F.col("strategy") == "auto_execute"
-    g = actions(spark, d).withColumn("sec", sec).withColumn("hour", within(3600)).withColumn("held", within(60))
-    verdict = F.when((F.col("bot") == "gsbot") & auto, "reject").when(F.col("held") > 0, "defer").when(auto & (F.col("confidence") < 0.95), "downgrade")
-    verdict = verdict.when(F.col("hour") >= 3, "hold-rate").when((F.abs(F.col("confidence") - F.col("neural")) > 0.15) & auto, "hold-neural").otherwise("approve")
-    return g.select("action_id", verdict.alias("verdict"))
-
-
-_LEASE = "l AS (SELECT o_orderkey AS id, 'repo-' || (o_custkey % 50) AS repo, 'bot-' || (o_orderkey % 4) AS holder, o_orderdate AS ts FROM orders)"
-
-
-@query("k03_lease_acquire", f"""WITH {_LEASE}, b AS (SELECT *, floor(epoch(ts))::BIGINT AS sec, id % 31 = 0 AS meta FROM l), w AS (SELECT *, count(*) OVER o AS any_live, max(CASE WHEN holder = 'bot-0' THEN sec END) OVER o AS h0, max(CASE WHEN holder = 'bot-1' THEN sec END) OVER o AS h1, max(CASE WHEN holder = 'bot-2' THEN sec END) OVER o AS h2, max(CASE WHEN holder = 'bot-3' THEN sec END) OVER o AS h3
-FROM b WINDOW o AS (PARTITION BY repo ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND 1 PRECEDING)) SELECT id, CASE WHEN meta THEN 'refused' WHEN CASE holder WHEN 'bot-0' THEN h0 WHEN 'bot-1' THEN h1 WHEN 'bot-2' THEN h2 ELSE h3 END IS NOT NULL THEN 'renewed' WHEN any_live > 0 THEN 'conflict' ELSE 'minted' END AS answer FROM w""")
-def k03_lease_acquire(spark, d):
-    """Answers to requests over the leases that others asked for within a day: owners' areas refuse, an own lease renews, another's conflicts."""
-    o = V.table(spark, d, "orders")
-    b = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("repo-"), F.col("o_custkey") % 50).alias("repo"), F.concat(F.lit("bot-"), F.col("o_orderkey") % 4).alias("holder"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("sec"))
-    live = Window.partitionBy("repo").orderBy("sec").rangeBetween(-86399, -1)
-    own = F.array_contains(F.collect_set("holder").over(live), F.col("holder"))
-    answer = F.when(F.col("id") % 31 == 0, "refused").when(own, "renewed").when(F.count("*").over(live) > 0, "conflict").otherwise("minted")
-    return b.select("id", answer.alias("answer"))
-
-
 @query("k05_batch_rollback", f"{with_views('outcomes')}, b AS (SELECT * FROM outcomes WHERE event_id % 10 = 3) SELECT recipe_id, repo, outcome, count(*) AS n FROM (SELECT recipe_id, repo, outcome FROM outcomes UNION ALL SELECT recipe_id, repo, 'false_positive' FROM b) GROUP BY 1, 2, 3")
 def k05_batch_rollback(spark, d):
     """A rolled back batch adds a false positive for each of its outcomes; the earlier rows stay."""
@@ -272,14 +244,6 @@ def r07_merge_decision(spark, d):
     return _decided(spark, d).select("pr", "safety", "method", "authority", "veto")
 
 
-@query("k07_merge_plan", f"{_DECIDED}, n AS (SELECT *, row_number() OVER (PARTITION BY repo, cycle, safety ORDER BY ts, pr) AS place FROM m) SELECT pr, repo, cycle, CASE WHEN safety = 'arm_auto' AND place > 1 THEN 'review' ELSE safety END AS entry FROM n")
-def k07_merge_plan(spark, d):
-    """Of a repository's armed pull requests only the first of a cycle stays armed."""
-    place = F.row_number().over(Window.partitionBy("repo", "cycle", "safety").orderBy("ts", "pr"))
-    late = (F.col("safety") == "arm_auto") & (F.col("place") > 1)
-    return _decided(spark, d).withColumn("place", place).select("pr", "repo", "cycle", F.when(late, "review").otherwise(F.col("safety")).alias("entry"))
-
-
 @query("r03_neural_adjust", f"WITH {_ACTIONS}, {_TIERS} SELECT action_id, CASE WHEN is_novel THEN 'control' ELSE tier END AS tier, CASE WHEN NOT is_novel AND tier = 'eliminate' AND (neural < 0.7 OR neural > 0.76) THEN least(confidence, neural) ELSE confidence END AS confidence FROM m")
 def r03_neural_adjust(spark, d):
     """Novel findings go to control; where a recipe eliminates, a trained network can lower its confidence."""
@@ -434,21 +398,6 @@ def u04_set_sizes(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.size(F.array_intersect("la", "lb")).cast("long").alias("shared"), F.size(F.array_union("la", "lb")).cast("long").alias("all_ids"))
 
 
-@query("u07_alert_dedup", """WITH RECURSIVE e AS (SELECT event_type, user_id % 40 AS peer, floor(epoch(ts))::BIGINT AS sec FROM events), k(event_type, peer, sec) AS (SELECT event_type, peer, min(sec) FROM e GROUP BY 1, 2 UNION ALL SELECT k.event_type, k.peer, (SELECT min(e.sec) FROM e WHERE e.event_type = k.event_type AND e.peer = k.peer AND e.sec >= k.sec + 300) FROM k WHERE k.sec IS NOT NULL)
-SELECT event_type, peer, sec FROM k WHERE sec IS NOT NULL""")
-def u07_alert_dedup(spark, d):
-    """Alerts that no kept alert of their key precedes by less than 5 minutes.
-
-    After a gap of 5 minutes an alert is always kept, so only runs without such a gap are walked, each by itself.
-    """
-    e = V.table(spark, d, "events").select("event_type", (F.col("user_id") % 40).alias("peer"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec")).distinct()
-    by = Window.partitionBy("event_type", "peer").orderBy("sec")
-
-    runs = e.withColumn("run", (F.coalesce(F.col("sec") - F.lag("sec").over(by), F.lit(300)) >= 300).cast("int")).withColumn("run", F.sum("run").over(by))
-    walked = F.aggregate(F.sort_array(F.collect_list("sec")), F.array().cast("array<bigint>"), lambda kept, s: F.when((F.size(kept) == 0) | (s - F.element_at(kept, -1) >= 300), F.array_append(kept, s)).otherwise(kept))
-    return runs.groupBy("event_type", "peer", "run").agg(walked.alias("kept")).select("event_type", "peer", F.explode("kept").alias("sec"))
-
-
 @query("t14_stale_heartbeats", f"{with_views('outcomes')}, n AS (SELECT max(ts) AS now FROM outcomes), h AS (SELECT repo, max(ts) AS seen FROM outcomes GROUP BY repo) SELECT repo, date_diff('second', date_trunc('second', seen), date_trunc('second', now)) > 86400 AS stale, date_diff('second', date_trunc('second', seen), date_trunc('second', now)) > 604800 AS critical FROM h, n")
 def t14_stale_heartbeats(spark, d):
     """Senders that were last seen more than a day, or a week, before the newest."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.streaming.machines import Machine, run_stream, timed
+
 RECENT, REHEAT_FAILURES = 10, 3
 STREAK = 5
 
@@ -22,23 +23,24 @@ def tumbling_counts(events: DataFrame, width: str = "5 seconds", late: str = "5
     return e.groupBy("event_type", F.window("at", width).alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
 
 
-STREAK_SCHEMA = "bot string, event_id long, streak long, quarantined boolean"
+class Streak(Machine):
+    """Failures of a bot in a row; five quarantine it."""
+
+    inputs = ("outcome",)
+    outputs = T.StructType([T.StructField("streak", T.LongType()), T.StructField("quarantined", T.BooleanType())])
 
+    def start(self) -> dict:
+        return {"streak": 0}
 
-def _streaks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (streak,) = state.get if state.exists else (0,)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for event, outcome in zip(rows["event_id"], rows["outcome"], strict=True):
-        streak = streak + 1 if outcome == "failure" else 0
-        out.append((key[0], event, streak, streak >= STREAK))
-    state.update((streak,))
-    yield pd.DataFrame(out, columns=["bot", "event_id", "streak", "quarantined"])
+    def step(self, state: dict, at: int, ident: int, event: dict) -> tuple:
+        state["streak"] = state["streak"] + 1 if event["outcome"] == "failure" else 0
+        return state["streak"], state["streak"] >= STREAK
 
 
 def failure_streaks_stream(outcomes: DataFrame) -> DataFrame:
     """The failure streak of each bot after each outcome; five in a row quarantine it."""
-    return outcomes.groupBy("bot").applyInPandasWithState(_streaks, STREAK_SCHEMA, "streak long", "append", GroupStateTimeout.NoTimeout)
+    out = run_stream(timed(outcomes, "bot", "ts", "event_id"), Streak())
+    return out.select(F.col("key").alias("bot"), F.col("id").alias("event_id"), "streak", "quarantined")
 
 
 def failure_streaks(outcomes: DataFrame) -> DataFrame:
@@ -51,30 +53,27 @@ def failure_streaks(outcomes: DataFrame) -> DataFrame:
     return runs.select("bot", "event_id", streak.alias("streak"), (streak >= STREAK).alias("quarantined"))
 
 
-ANNEAL_SCHEMA = "recipe_id string, event_id long, n long, recent_bad long, temperature double"
-
-
-def _heat(n: int, bad: int) -> float:
-    import math
+class Anneal(Machine):
+    """The temperature of a recipe by its outcomes; three bad ones of the last ten reheat it."""
 
-    base = max(math.exp(-0.05 * n), 0.01)
-    return min(3 * base, 1.0) if bad >= REHEAT_FAILURES else base
+    inputs = ("outcome",)
+    outputs = T.StructType([T.StructField("n", T.LongType()), T.StructField("recent_bad", T.LongType()), T.StructField("temperature", T.DoubleType())])
 
+    def start(self) -> dict:
+        return {"n": 0, "recent": ""}
 
-def _anneal(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, recent = state.get if state.exists else (0, "")
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for event, outcome in zip(rows["event_id"], rows["outcome"], strict=True):
-        n, recent = n + 1, (recent + ("." if outcome == "success" else "x"))[-RECENT:]
-        out.append((key[0], event, n, recent.count("x"), _heat(n, recent.count("x"))))
-    state.update((n, recent))
-    yield pd.DataFrame(out, columns=["recipe_id", "event_id", "n", "recent_bad", "temperature"])
+    def step(self, state: dict, at: int, ident: int, event: dict) -> tuple:
+        state["n"] += 1
+        state["recent"] = (state["recent"] + ("." if event["outcome"] == "success" else "x"))[-RECENT:]
+        bad = state["recent"].count("x")
+        base = max(math.exp(-0.05 * state["n"]), 0.01)
+        return state["n"], bad, min(3 * base, 1.0) if bad >= REHEAT_FAILURES else base
 
 
 def annealing_stream(outcomes: DataFrame) -> DataFrame:
-    """Temperature of each recipe after each outcome; three bad ones of the last ten reheat it."""
-    return outcomes.groupBy("recipe_id").applyInPandasWithState(_anneal, ANNEAL_SCHEMA, "n long, recent string", "append", GroupStateTimeout.NoTimeout)
+    """Temperature of each recipe after each outcome."""
+    out = run_stream(timed(outcomes, "recipe_id", "ts", "event_id"), Anneal())
+    return out.select(F.col("key").alias("recipe_id"), F.col("id").alias("event_id"), "n", "recent_bad", "temperature")
 
 
 def annealing(outcomes: DataFrame) -> DataFrame:
