@@ -87,10 +87,10 @@ def requests(spark, d) -> DataFrame:
     return e.select(n.alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("repo-"), F.expr("user_id div 50")).alias("repo"), holder.alias("holder"), ((n % 31 == 0) & (n % 62 > 0)).alias("refused"))
 
 
-@query("k03_lease_acquire", f"{_LEASES} SELECT id, answer, CASE WHEN answer <> 'refused' THEN lease END AS lease FROM g WHERE n > 0")
+@query("k03_lease_acquire", f"{_LEASES} SELECT id, answer, CASE WHEN answer <> 'refused' THEN lease ELSE -1 END AS lease FROM g WHERE n > 0")
 def k03_lease_acquire(spark, d):
-    """Answers to lease requests: meta areas without the owner's leave are refused, an own live lease renews, another's conflicts."""
-    return T.lease_answers(requests(spark, d), written)
+    """Answers to lease requests: meta areas without the owner's leave are refused, an own live lease renews, another's conflicts.  The lease is that of the request that minted it, -1 for refusals."""
+    return T.lease_answers(requests(spark, d), written).withColumn("lease", F.coalesce("lease", F.lit(-1).cast("long")))
 
 
 _CYCLE = "strftime(ts, '%Y')"

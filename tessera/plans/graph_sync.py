@@ -55,11 +55,11 @@ UNION ALL SELECT DISTINCT 'outcomes', 'outcome_' || md5(recipe_id || chr(31) ||
 UNION ALL SELECT 'recipes', id, 0, NULL, NULL, NULL FROM recipes)"""
 
 
-@query("s16_graph_sync", f"{_SQL} SELECT collection, key, seq, about, n, seen FROM g")
+@query("s16_graph_sync", f"{_SQL} SELECT collection, key, seq, about, coalesce(n, -1) AS n, seen FROM g")
 def s16_graph_sync(spark, d):
     """Scans, outcomes and recipes merged by key; merging a batch again changes nothing."""
     field = lambda name, kind="string": F.get_json_object("doc", f"$.{name}").cast(kind)
-    return _synced(spark, d).read().select("collection", "key", "seq", field("repo").alias("about"), field("finding_count", "long").alias("n"), field("last_scanned").alias("seen"))
+    return _synced(spark, d).read().select("collection", "key", "seq", field("repo").alias("about"), F.coalesce(field("finding_count", "long"), F.lit(-1).cast("long")).alias("n"), field("last_scanned").alias("seen"))
 
 
 @query("s16_graph_counts", f"{_SQL} SELECT collection, count(*) AS n FROM g GROUP BY collection")

@@ -141,3 +141,19 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     body = F.filter(rest(lines), lambda x: ~x.startswith("-"))
     numbered = hunks.select("diff_id", "path", start.alias("start"), F.posexplode(body).alias("k", "line"))
     return numbered.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select("diff_id", "path", (F.col("start") + F.col("k")).alias("line_no"), F.substring("line", 2, 2**31 - 1).alias("line"))
+
+
+def dispatch(stores: dict[str, DataFrame], name: str) -> DataFrame:
+    """The store of a name; one that isn't there is an error that says which there are."""
+    if name not in stores:
+        raise KeyError(f"unknown store {name!r}; there are {', '.join(sorted(stores))}")
+    return stores[name]
+
+
+def write_manifest(actions: DataFrame, path: str, archive: str, day: str, by: str = "strategy") -> DataFrame:
+    """Replaces the pending manifest, keeps a copy under its day in the archive, and returns (strategy, n) of what was written."""
+    actions.write.mode("overwrite").json(path)
+    spark = actions.sparkSession
+    written = spark.read.schema(actions.schema).json(path)
+    written.withColumn("day", F.lit(day)).write.mode("append").partitionBy("day").json(archive)
+    return written.groupBy(F.col(by).alias("strategy")).agg(F.count("*").alias("n"))

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import importlib
+import pkgutil
+
 import pytest
 
-import tessera.plans.decisions  # noqa: F401  (registers its queries)
-import tessera.plans.content  # noqa: F401
-import tessera.plans.governance  # noqa: F401
-import tessera.plans.routing  # noqa: F401
-import tessera.plans.stores  # noqa: F401
+import tessera.plans
 from tessera.operators import governance as K
 from tessera.plans.queries import ORACLE, QUERIES
 
+for found in pkgutil.iter_modules(tessera.plans.__path__):  # each registers its queries
+    importlib.import_module(f"tessera.plans.{found.name}")
+
 
-def plain(value):
-    if hasattr(value, "__len__") and not isinstance(value, str):
-        return str(list(value))
+def plain(value) -> str:
+    if isinstance(value, (list, tuple)):
+        return str([plain(v) for v in value])
     if value is None or value != value:
         return "~"
-    if isinstance(value, float):
-        return round(value, 9)
-    return value
+    if isinstance(value, (float, decimal.Decimal)):
+        value = round(float(value), 9) + 0.0
+        return str(int(value)) if value == int(value) else str(value)
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None).isoformat()
+    return str(value)
 
 
-def rows(df) -> list:
-    names = sorted(df.columns)
-    return names, sorted(tuple(plain(v) for v in r) for r in df[names].itertuples(index=False, name=None))
+def rows(names: list[str], data: list) -> tuple:
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return [names[k] for k in order], sorted(tuple(plain(r[k]) for k in order) for r in data)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
-    got = rows(QUERIES[name](spark, sf).toPandas())
+    df = QUERIES[name](spark, sf)
+    got = rows(df.columns, df.collect())
     if name in ORACLE:
-        want = rows(duck.sql(ORACLE[name]).df())
-        assert got[0] == want[0]
-        assert [list(map(str, r)) for r in got[1]] == [list(map(str, r)) for r in want[1]]
+        found = duck.sql(ORACLE[name])
+        assert got == rows(found.columns, found.fetchall())
     else:
         assert got[1]
 
