@@ -21,15 +21,16 @@ from tessera.llm import textops as X
 from tessera.llm.components import components
 
 
-def plain_rows(df):
-    names = sorted(df.columns)
+def plain_rows(names, data):
+    order = sorted(range(len(names)), key=lambda k: names[k])
     show = lambda v: "~" if v is None or v != v else repr(round(v, 9)) if isinstance(v, float) else str(v)
-    return names, sorted([show(v) for v in r] for r in df[names].itertuples(index=False, name=None))
+    return [names[k] for k in order], sorted([show(r[k]) for k in order] for r in data)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, sf, duck, name):
-    assert plain_rows(registry.QUERIES[name](spark, sf).toPandas()) == plain_rows(duck.sql(registry.ORACLE[name]).df())
+    df, found = registry.QUERIES[name](spark, sf), duck.sql(registry.ORACLE[name])
+    assert plain_rows(df.columns, df.collect()) == plain_rows(found.columns, found.fetchall())
 
 
 def brute_kernel(s, t, decay=toxicity.DECAY):
