@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import confidence as C
-from tessera.operators.intervals import covering
+from tessera.operators.intervals import window_totals
 from tessera.plans.governance import _ACTIONS, actions
 from tessera.plans.queries import query
 from tessera.plans.routing import _BOOK, recipe_book
@@ -44,8 +44,8 @@ def j07_overlapping_windows(spark, d):
     base = F.broadcast(o.agg(F.min("at").alias("t0")))
     start = F.col("t0") + k * 7919 % 2160000
     w = V.table(spark, d, "supplier").crossJoin(base).select(F.concat(F.lit("plan-"), k).alias("strategy"), start.alias("start"), (start + k % 6 * 3600).alias("end"))
-    g = covering(o, w, 6 * 3600).groupBy("strategy")
-    return g.agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "success").alias("successes"), F.countDistinct(F.when(F.col("verification") == "still_present", F.col("recipe_id"))).alias("still_present"))
+    o = o.select("at", F.when(F.col("verification") == "still_present", F.col("recipe_id")).alias("item"), "outcome")
+    return window_totals(o, w, 6 * 3600, {"successes": F.col("outcome") == "success"}).withColumnRenamed("items", "still_present")
 
 
 # --- Outcomes ------------------------------------------------------------------------------------
