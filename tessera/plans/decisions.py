@@ -136,10 +136,8 @@ def b09_blended(spark, d):
 
 @query("g05_similar_repos", f"{with_views('outcomes')}, p AS (SELECT DISTINCT repo, recipe_id FROM outcomes WHERE outcome = 'failure'), s AS (SELECT a.repo AS a, b.repo AS b, count(*) AS shared FROM p a JOIN p b ON a.recipe_id = b.recipe_id AND a.repo <> b.repo GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM s) SELECT a AS repo, b AS similar_repo, shared FROM r WHERE r <= 3")
 def g05_similar_repos(spark, d):
-    e = G.jaccard_edges(V.outcomes(spark, d).where("outcome = 'failure'"), "repo", "recipe_id")
-    both = e.select("a", "b", "shared").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    r = F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
-    return both.withColumn("r", r).where("r <= 3").select(F.col("a").alias("repo"), F.col("b").alias("similar_repo"), "shared")
+    e = G.most_shared(V.outcomes(spark, d).where("outcome = 'failure'"), "repo", "recipe_id", 3)
+    return e.select(F.col("a").alias("repo"), F.col("b").alias("similar_repo"), "shared")
 
 
 @query("g06_language_cluster", f"{with_views('repo_language')} SELECT a.repo, count(b.repo) AS peers FROM repo_language a LEFT JOIN repo_language b ON a.family = b.family AND a.repo <> b.repo GROUP BY a.repo")
