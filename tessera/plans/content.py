@@ -218,8 +218,10 @@ def x08_schedule_clashes(spark, d):
 )
 def x09_estate_findings(spark, d):
     """All families together (U2): files by rule, ranked within each severity."""
-    files = source_files(spark, d)
-    bare = files.where(~F.contains("content", F.lit("SPDX-License-Identifier:"))).select("file_id", F.lit("missing_spdx").alias("rule"), F.lit("low").alias("severity"))
-    found = T.pattern_findings(files, T.PATTERNS).drop("occurrences").unionByName(T.check_findings(files.withColumn("path", F.lit("")), T.CONTAINER)).unionByName(bare)
+    def scan(files):
+        bare = files.where(~F.contains("content", F.lit("SPDX-License-Identifier:"))).select("file_id", F.lit("missing_spdx").alias("rule"), F.lit("low").alias("severity"))
+        return T.text_patterns(files, T.PATTERNS).drop("occurrences").unionByName(T.text_checks(files, T.CONTAINER).drop("_check")).unionByName(bare)
+
+    found = T.each_text_once(source_files(spark, d), ("language", "content"), scan)
     g = found.groupBy("rule", "severity").agg(F.countDistinct("file_id").alias("files"))
     return g.withColumn("place", F.row_number().over(Window.partitionBy("severity").orderBy(F.col("files").desc(), "rule")).cast("long"))
