@@ -69,6 +69,31 @@ def test_a_merge_that_was_cut_off_is_finished(spark):
     assert "k9" not in {x[1] for x in content(store)}
 
 
+def test_a_batch_that_comes_again_is_not_written(spark):
+    store = GraphStore(spark, fresh(spark), buckets=4)
+    first = spark.createDataFrame([("a", f"k{i}", 0, "x") for i in range(50)], ROW)
+    store.merge(first)
+    store.merge(spark.createDataFrame([("a", "k1", 1, "y"), ("a", "k1", 1, "y")], ROW))
+    files = lambda: set(spark.read.parquet(store.rows_at).inputFiles())
+    before = files()
+    store.merge(first)
+    assert files() == before and ("a", "k1", 1, "y") in content(store) and len(content(store)) == 50
+    # other rows of a known number are merged
+    store.merge(spark.createDataFrame([("a", f"k{i}", 0, "z") for i in range(50)], ROW))
+    assert {x[3] for x in content(store)} == {"y", "z"}
+
+
+def test_buckets_aside_are_finished(spark):
+    """A merge that was cut off between two buckets' renames."""
+    store = GraphStore(spark, fresh(spark), buckets=2)
+    store.merge(spark.createDataFrame([("a", f"k{i}", 0, "x") for i in range(20)], ROW))
+    store._placed(spark.createDataFrame([("a", f"k{i}", 1, "y") for i in range(20)], ROW)).write.partitionBy("collection", "bucket").parquet(store.aside)
+    at, fs = store._file(f"{store.rows_at}/collection=a/bucket=1")
+    fs.delete(at, True)
+    store.merge(spark.createDataFrame([], ROW))
+    assert content(store) == sorted(("a", f"k{i}", 1, "y") for i in range(20))
+
+
 def test_document_keys(spark):
     df = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("a", "a")], "x string, y string")
     keys = [r[0] for r in df.select(document_key(F.lit("p"), "x", "y")).collect()]
