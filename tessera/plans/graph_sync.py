@@ -35,8 +35,8 @@ def _synced(spark, d) -> GraphStore:
     scans = _scans(spark, d)
     for k in range(_PARTS):
         rows = _scan_rows(scans.where(F.col("scan") == k))
-        rows.write.mode("append").json(f"{feed}/{k}")
-        stream = spark.readStream.schema("collection string, key string, seq long, doc string").option("recursiveFileLookup", "true").json(feed)
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{feed}/{k}")
+        stream = spark.readStream.schema("collection string, key string, seq long, doc string").option("recursiveFileLookup", "true").parquet(feed)
         store.sync(stream, mark)
     store.merge(_scan_rows(scans.where("scan = 1")))
     o = V.outcomes(spark, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
