@@ -234,9 +234,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _all_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _all_units(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``units_of`` by slices, for bounded memory."""
-    data, offsets = X.flat(pa.array(texts, pa.string()))
+    data, offsets = X.flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     parts, base = [], 0
     for i, j in X.slices(offsets):
         r, u, d = units_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -251,7 +251,7 @@ def _all_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[first], pair % len(first), pair // len(first)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+def fit(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     """Model of labelled texts; without texts of both labels every score is the share of toxic ones."""
     labels = np.asarray(labels) > 0
     share = float((labels.sum() + 0.5) / (len(labels) + 1)) if labels.any() else 0.0
@@ -315,8 +315,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return Model(folded, bias, *_logistic(worst[told], labels[told].astype(float)))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``per_label`` texts of each label, by hash order of doc_id, up to the one that reaches ``chars`` characters.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(doc_id, t, y): at most ``per_label`` texts of each label, by hash order of doc_id, up to the one that reaches ``chars`` characters.
 
     A doc_id labelled twice counts as toxic if once so; of its rows the shortest text is taken.  Null texts take no part.
     """
@@ -329,11 +329,31 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     # at most 2 * per_label rows of numbers
     some = some.withColumn("before", F.coalesce(first, F.lit(0))).where(F.col("before") < chars).drop("before")
     rows = docs.select("doc_id", F.col("text").alias("t"), F.length("text").alias("n"), F.xxhash64("text").alias("h")).join(F.broadcast(some), ["doc_id", "n", "h"])
-    rows = rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["t"]))
+    return rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
+    """``training_rows`` in the driver: texts and labels by doc_id."""
+    rows = sorted(training_rows(docs, labels, label, per_label, chars).collect(), key=lambda r: r["doc_id"])
     return [r["t"] for r in rows], np.array([r["y"] for r in rows])
 
 
+def fitted(rows: DataFrame) -> Model:
+    """Model of ``training_rows``, fitted in a task: neither texts nor the fit's tables take the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b.rename_columns(["doc_id", "t", "y"])]) for b in batches]
+        if parts:
+            t = pa.concat_tables(parts).sort_by("doc_id").combine_chunks()
+            texts = t.column("t").cast(pa.large_string()).combine_chunks()
+            m = fit(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, t.column("y").to_numpy())
+            yield pa.RecordBatch.from_pydict({"weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
+
+    # at most 2 * TRAIN_DOCS rows
+    m = rows.coalesce(1).mapInArrow(run, "weights binary, bias double, slope double, offset double").first()
+    return fit([], np.array([])) if m is None else Model(np.frombuffer(m["weights"], np.float32), m["bias"], m["slope"], m["offset"])
+
+
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the column ``score``; null and empty texts score as texts without units.
 
@@ -359,7 +379,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
     """Model of the labelled rows that are not held out."""
     labels = documents(spark, sf_dir, "labels").where(bucket_of("doc_id", 3) != 1)
-    return fit(*training_texts(docs, labels))
+    bounded_batches(spark)
+    return fitted(training_rows(docs, labels))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -102,6 +103,18 @@ def test_toxicity_uses_no_held_out_label(spark, sf):
     assert sorted(a[0]) == sorted(r["text"] for r in docs.collect() if r["doc_id"] in ids and r["text"] is not None)
 
 
+def test_toxicity_is_fitted_in_a_task(spark, sf, no_docs, monkeypatch):
+    """The model is that of the same texts fitted here, and the driver's process doesn't fit it."""
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    here = toxicity.fit(*toxicity.training_texts(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)))
+    there = toxicity.trained(spark, sf, docs)
+    assert np.allclose(here.weights, there.weights) and (here.bias, here.slope, here.offset) == pytest.approx((there.bias, there.slope, there.offset))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: toxicity.Model(np.zeros(1, np.float32), float(os.getpid()), 1.0, 0.0))
+    assert toxicity.trained(spark, sf, docs).bias != os.getpid()
+    monkeypatch.undo()
+    assert toxicity.trained(spark, sf, no_docs).bias == 0
+
+
 def test_toxicity_sample_bounds(spark, make_docs):
     """Missing and repeated documents take no place of the sample, and a long text is learnt from like any other."""
     rows = [(k, "x" * (50_000 if k == 3 else 5 + k), "s") for k in range(40)] + [(5, "xy" * 40, "s")] * 30 + [(None, "x", "s"), (7, None, "s")]
