@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 
@@ -42,3 +44,21 @@ def test_many_items_with_few_keys(spark):
     assert len(near) == 6000 and set(near.values()) == {3}
     plan = G.jaccard_edges(df, "item", "key")._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan and plan.count("Join") == 1  # pairs are made once, and neither dealt nor grouped
+
+
+def test_items_meet_in_blocks(spark, monkeypatch):
+    """Two thousand items in blocks of about a hundred: every pair is met once, and no task has all items, as it had by a broadcast."""
+    monkeypatch.setattr(G, "BLOCK", 100)
+    df = spark.range(2000 * 3).selectExpr("'i' || id % 2000 AS item", "'k' || (id % 2000 + id div 2000 * (id % 2000 % 7 + 1)) % 20 AS key")
+    keys = {}
+    for x in df.collect():
+        keys[x["item"]] = keys.get(x["item"], 0) | 1 << int(x["key"][1:])
+    names = sorted(keys)
+    bits = np.array([keys[x] for x in names])
+    shared = np.triu(np.bitwise_count(bits[:, None] & bits), 1).astype(int)
+    edges = G.jaccard_edges(df, "item", "key")
+    got = {x["a"]: (x["n"], x["shared"]) for x in edges.groupBy("a").agg(F.count("*").alias("n"), F.sum("shared").alias("shared")).collect()}
+    assert got == {x: (int((row > 0).sum()), int(row.sum())) for x, row in zip(names, shared) if row.any()}
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    most = edges.groupBy(F.spark_partition_id()).agg(F.countDistinct("a").alias("a"), F.countDistinct("b").alias("b"), F.count("*").alias("n")).agg(F.max(F.least("a", "b")), F.max("n")).first()
+    assert most[0] < 1500 and most[1] < (shared > 0).sum() / 20
