@@ -62,3 +62,43 @@ def test_items_meet_in_blocks(spark, monkeypatch):
     assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
     most = edges.groupBy(F.spark_partition_id()).agg(F.countDistinct("a").alias("a"), F.countDistinct("b").alias("b"), F.count("*").alias("n")).agg(F.max(F.least("a", "b")), F.max("n")).first()
     assert most[0] < 1500 and most[1] < (shared > 0).sum() / 20
+
+
+def nodes(plan):
+    """A plan's nodes as they ran; what a plan uses again comes once."""
+    name = plan.getClass().getSimpleName()
+    if name == "ReusedExchangeExec":
+        return
+    yield name, plan
+    if name == "AdaptiveSparkPlanExec":
+        yield from nodes(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from nodes(plan.plan())
+    else:
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+
+@pytest.mark.parametrize("few, many, tasks", [(16, 1000, 10_000), (16, 64, 20), (1000, 1000, 1000)])
+def test_dealt_rows_grow_with_items(spark, monkeypatch, few, many, tasks):
+    """Six hundred items in small blocks: every pair once, and no more rows dealt than items, where each item was dealt to all blocks."""
+    for name, value in {"BLOCK": 16, "FEW": few, "MANY": many, "TASKS": tasks}.items():
+        monkeypatch.setattr(G, name, value, raising=False)
+    df = spark.range(600 * 5).selectExpr("'i' || id % 600 AS item", "'k' || (id % 600 % 40 + id div 600 * (id % 600 % 7 + 1)) % 20 AS key")
+    keys = {}
+    for x in df.collect():
+        keys.setdefault(x["item"], set()).add(x["key"])
+    want = sorted((a, b, len(keys[a] & keys[b]), len(keys[a] & keys[b]) / len(keys[a] | keys[b])) for a in keys for b in keys if a < b and keys[a] & keys[b])
+    edges = G.jaccard_edges(df, "item", "key")
+    assert sorted(map(tuple, edges.collect())) == want
+    dealt = [x.metrics().apply("shuffleRecordsWritten").value() for name, x in nodes(edges._jdf.queryExecution().executedPlan()) if name == "ShuffleExchangeExec"]
+    assert dealt and 0 < sum(dealt) <= 600
+
+
+def test_written_pairs_are_small(spark, tmp_path):
+    """Items of twenty sets: rows of an item and of equal sets follow each other, so a pair takes less than a byte; it took over two."""
+    df = spark.range(2000 * 5).selectExpr("'item-' || id % 2000 AS item", "'k' || (id % 2000 % 20 + id div 2000 * (id % 2000 % 20 % 7 + 1)) % 20 AS key")
+    edges = G.jaccard_edges(df, "item", "key")
+    edges.write.parquet(f"{tmp_path}/edges")
+    rows = spark.read.parquet(f"{tmp_path}/edges").count()
+    assert rows > 1_000_000 and sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < rows
